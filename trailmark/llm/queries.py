@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mix_pivotal, shard_histogram
+from . import license_index, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray
 from .space import table
 
 
@@ -23,10 +23,32 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules_forest.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *rules_forest.COUNTS, "base_failed", "kept")
+
+
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_net.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_gray.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_index.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_histogram_shards": op1_histogram_shards,
         "op2_pivotal_mix": op2_pivotal_mix,
+        "op3_forest_rules": op3_forest_rules,
+        "op8_quality_net": op8_quality_net,
+        "op9_simhash_gray": op9_simhash_gray,
+        "op10_license_index": op10_license_index,
     }
 
 
