@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_index, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray
+from . import license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray
 from .space import table
 
 
@@ -28,6 +28,10 @@ def op3_forest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules_forest.COUNTS, "base_failed", "kept")
 
 
+def op4_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.scored(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def queries() -> dict:
         "op1_histogram_shards": op1_histogram_shards,
         "op2_pivotal_mix": op2_pivotal_mix,
         "op3_forest_rules": op3_forest_rules,
+        "op4_lm_trie": op4_lm_trie,
         "op8_quality_net": op8_quality_net,
         "op9_simhash_gray": op9_simhash_gray,
         "op10_license_index": op10_license_index,
