@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray
+from . import license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
 from .space import table
 
 
@@ -32,6 +32,10 @@ def op4_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_trie.scored(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op2_pivotal_mix": op2_pivotal_mix,
         "op3_forest_rules": op3_forest_rules,
         "op4_lm_trie": op4_lm_trie,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op8_quality_net": op8_quality_net,
         "op9_simhash_gray": op9_simhash_gray,
         "op10_license_index": op10_license_index,
