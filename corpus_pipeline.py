@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailmark.llm import mix_pivotal, shard_histogram
+from trailmark.llm import decontaminate, mix_pivotal, quality_net, shard_histogram, simhash_gray
 from trailmark.llm.space import table, written
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_net.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near-duplicates."""
+    return simhash_gray.one_of_each(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix to target weights takes it."""
     return mix_pivotal.mixed_rows(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with shard and slot."""
+    """All rows, with shard, slot and size."""
     return shard_histogram.shard(docs)
 
 
-STAGES = [("mix", mixed), ("shard", sharded)]
+STAGES = [("quality", good), ("near-duplicates", distinct), ("decontaminate", clean), ("mix", mixed), ("shard", sharded)]
 
-#: Stages draw, train and link; none of that can be said in SQL. Tests hold each against a brute-force version.
+#: Stages train, link and draw; none of that can be said in SQL. Tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 

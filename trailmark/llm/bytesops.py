@@ -88,6 +88,17 @@ def mapped(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch
     return run
 
 
+def filtered(fn: Callable[[np.ndarray, np.ndarray], np.ndarray], text: str, limit: int = PIECE):
+    """A function for mapInArrow that keeps the rows, with all their columns, for which fn(bytes, offsets) is true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, offsets in pieces(batch, limit, text):
+                yield rows.filter(pa.array(fn(data, offsets)))
+
+    return run
+
+
 def spans(keep: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each run of kept bytes; runs end with their text."""
     n = len(keep)

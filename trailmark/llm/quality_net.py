@@ -197,3 +197,9 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     out = narrow.mapInArrow(B.mapped(run), "doc_id long, score double")
     return out.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", **fit) -> DataFrame:
+    """The rows of docs that the classifier predicts to be good, in one pass over the texts."""
+    vectors, net = trained(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), labels, **fit)
+    return docs.mapInArrow(B.filtered(lambda *x: net.probability(pooled(*x, vectors)) >= 0.5, text), docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
+from . import compact_windows, decontaminate, license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
 from .space import table
 
 
@@ -36,6 +36,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.passages(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +64,8 @@ def queries() -> dict:
         "op3_forest_rules": op3_forest_rules,
         "op4_lm_trie": op4_lm_trie,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_latent_leaks": op6_latent_leaks,
+        "op7_compact_windows": op7_compact_windows,
         "op8_quality_net": op8_quality_net,
         "op9_simhash_gray": op9_simhash_gray,
         "op10_license_index": op10_license_index,

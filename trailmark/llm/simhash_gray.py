@@ -249,4 +249,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """docs without those whose group has a document with a smaller id. Repeated rows of the id that stays all stay."""
     gone = near_duplicates(docs, text, doc_id, **how).where("doc_id != component_id").select(F.col("doc_id").alias("__tm_gone")).distinct()
+    gone = written(gone, "simhash-gone")  # so that its size is known to the join
     return docs.join(gone, docs[doc_id] == gone["__tm_gone"], "left_anti").select(*(docs[c] for c in docs.columns))

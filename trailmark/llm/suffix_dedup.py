@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .induced_sort import common_with_previous, suffix_array
-from .lm_trie import _plain, _planes, mapped_file, put
+from .lm_trie import _plain, mapped_file, put
+from .repeats import chunks, cuts, pack, repeated_keys
 from .space import shared_dir, written
 
 U = B.U
@@ -68,15 +69,6 @@ def packed(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     return docs.mapInArrow(run, "chunk long, ids binary, has_id binary, ends binary, bytes binary")
 
 
-def chunks(batches):
-    """(chunk, ids, has_id, offsets, data) of each row of packed()."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            chunk = batch.column(0)[i].as_py()
-            ids, known, ends, data = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((1, np.int64), (2, bool), (3, np.int64), (4, np.uint8)))
-            yield chunk, ids, known, np.concatenate([[0], ends]), data
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     """Hash of each anchor, the first window start that has it, and the number of starts in a row that do."""
     found = []
@@ -112,19 +104,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _folder(spark) -> str:
+def work_folder(spark) -> str:
     folder = f"{shared_dir(spark)}/trailmark/suffix-{uuid.uuid4().hex}"
     return folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
 
 
-def _pack(*arrays: np.ndarray) -> list[bytes]:
-    return [_planes(a) if len(a) else b"" for a in arrays]
-
-
-def _cuts(shard: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(shard, np.arange(shards + 1))
-
-
 def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, k: int = 20, chunk_bytes: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) for each row of docs.
 
@@ -132,63 +116,17 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     row without an id comes after all others. Texts that are shorter than `length` stay whole.
     """
     spark = docs.sparkSession
-    folder = _folder(spark)
+    folder = work_folder(spark)
     packs = written(packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chunk_bytes), "suffix-chunks")
     n_chunks = packs.count()
     bits = max(3, (n_chunks * 3 // 2).bit_length())
     shards = 1 << bits
 
-    # anchors that occur in two documents
-    def count_anchors(batches):
-        for chunk, ids, _, offsets, data in chunks(batches):
-            h, first, _ = anchors(data, offsets, length, k)
-            owner = ids[np.searchsorted(offsets, first, "right") - 1]
-            order = np.lexsort((owner, h))
-            h, owner = h[order], owner[order]
-            new = np.append(True, h[1:] != h[:-1])[: len(h)]
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(h)))
-            many = np.zeros(len(h), bool)
-            many[1:] = ~new[1:] & (owner[1:] != owner[:-1])
-            twice = np.add.reduceat(many, at) > 0 if len(at) else np.zeros(0, bool)
-            # 1: in one document; else occurrences, 2 at least
-            n = np.where(twice, np.maximum(n, 2), 1).astype(np.uint32)
-            cut = _cuts((h[at] >> U(64 - bits)).astype(np.int64), shards)
-            rows = [(s, chunk, *_pack(np.diff(h[at][a:b], prepend=U(0)), n[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "chunk", "keys", "counts"])
-
-    def repeats(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")]
-        counts = np.concatenate([_plain(x.as_py(), "<u4") for x in table.column("counts")]).astype(np.int64)
-        h = np.concatenate(keys)
-        at = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        total = np.add.reduceat(counts[order], first)
-        size = np.diff(np.append(first, len(s)))
-        back = np.empty(len(h), np.int64)
-        back[order] = np.repeat(total, size)
-        rows = []
-        for i, chunk in enumerate(table.column("chunk").to_pylist()):
-            mine = slice(*np.searchsorted(at, [i, i + 1]))
-            again = back[mine] > 1
-            if again.any():
-                rows.append((chunk, *_pack(np.diff(h[mine][again], prepend=U(0)), (back[mine][again] >= frequent))))
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("chunk", "keys", "often"), zip(*rows) if rows else ([], [], []), (pa.int64(), pa.binary(), pa.binary()))})
-
-    def store_repeats(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        h = np.concatenate([np.cumsum(_plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")])
-        often = np.concatenate([_plain(x.as_py(), "|b1") for x in table.column("often")])
-        order = np.argsort(h)
-        put(folder, f"repeats-{chunk}", {"keys": h[order], "often": often[order]})
-        return pa.table({"chunk": [chunk]})
-
-    counted = packs.mapInArrow(count_anchors, "shard long, chunk long, keys binary, counts binary")
-    again = counted.groupBy("shard").applyInArrow(repeats, "chunk long, keys binary, often binary")
-    known = {r[0] for r in again.groupBy("chunk").applyInArrow(store_repeats, "chunk long").collect()}
+    def anchor_keys(ids, offsets, data):
+        h, first, _ = anchors(data, offsets, length, k)
+        return h, ids[np.searchsorted(offsets, first, "right") - 1]
+
+    known = repeated_keys(packs, anchor_keys, bits, folder, frequent)
 
     # contexts of those anchors
     def send_contexts(batches):
@@ -216,13 +154,13 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             number[order] = np.cumsum(new) - 1
             put(folder, f"places-{chunk}", {"start": starts.astype(np.int32), "context": number})
             pick = order[new]
-            cut = _cuts(shard[pick], shards)
+            cut = cuts(shard[pick], shards)
             rows = []
             for s, (a, b) in enumerate(zip(cut, cut[1:])):
                 if a < b:
                     p = pick[a:b]
                     raw = data[_inside(starts[p], sizes[p])]
-                    rows.append((s, chunk, *_pack(whole[p], sizes[p].astype(np.uint8 if length <= 128 else np.uint32), owner[p]), pa.compress(raw.tobytes(), "zstd", asbytes=True), len(raw)))
+                    rows.append((s, chunk, *pack(whole[p], sizes[p].astype(np.uint8 if length <= 128 else np.uint32), owner[p]), pa.compress(raw.tobytes(), "zstd", asbytes=True), len(raw)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "chunk", "keys", "sizes", "ids", "bytes", "n_bytes"])
 
@@ -268,7 +206,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             first += len(mine)
             n = run_of[mine + 1] - run_of[mine]
             r = _inside(run_of[mine], n)
-            rows.append((p["shard"], p["chunk"], *_pack(n.astype(np.uint16), run_size[r].astype(np.uint16), value[run][r])))
+            rows.append((p["shard"], p["chunk"], *pack(n.astype(np.uint16), run_size[r].astype(np.uint16), value[run][r])))
         return pa.table({c: pa.array(x, t) for c, x, t in zip(("shard", "chunk", "runs", "sizes", "ids"), zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 3))})
 
     def store_answers(table: pa.Table) -> pa.Table:
