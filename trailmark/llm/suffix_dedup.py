@@ -73,7 +73,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     """Hash of each anchor, the first window start that has it, and the number of starts in a row that do."""
     found = []
     n, width = len(data), length - k + 1
-    room = np.repeat(offsets[1:], np.diff(offsets))  # end of each byte's text
     for lo in range(0, n, STARTS):
         hi = min(n, lo + STARTS + length - 1)
         if hi - lo < length:
@@ -88,8 +87,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
             step = min(have, width - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        start = np.arange(lo, lo + len(least))
-        ok = start + length <= room[lo : lo + len(least)]
+        ok = np.arange(lo, lo + len(least)) + length <= _room(offsets, lo, lo + len(least))
         new = ok.copy()
         new[1:] &= (least[1:] != least[:-1]) | ~ok[:-1]
         first = np.flatnonzero(new)
@@ -104,6 +102,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _room(offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """End of the text of each place from lo to hi."""
+    return np.repeat(offsets[1:], np.diff(np.clip(offsets, lo, hi)))
+
+
 def work_folder(spark) -> str:
     folder = f"{shared_dir(spark)}/trailmark/suffix-{uuid.uuid4().hex}"
     return folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
@@ -119,14 +122,16 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     folder = work_folder(spark)
     packs = written(packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chunk_bytes), "suffix-chunks")
     n_chunks = packs.count()
-    bits = max(3, (n_chunks * 3 // 2).bit_length())
+    bits = max(3, n_chunks.bit_length())
+    # suffix sorting takes some dozens of bytes for each byte of context
+    anchor_bits, bits = bits, bits + 3
     shards = 1 << bits
 
     def anchor_keys(ids, offsets, data):
         h, first, _ = anchors(data, offsets, length, k)
         return h, ids[np.searchsorted(offsets, first, "right") - 1]
 
-    known = repeated_keys(packs, anchor_keys, bits, folder, frequent)
+    known = repeated_keys(packs, anchor_keys, anchor_bits, folder, frequent)
 
     # contexts of those anchors
     def send_contexts(batches):
