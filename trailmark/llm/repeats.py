@@ -27,6 +27,7 @@ def chunks(batches):
             chunk = batch.column(0)[i].as_py()
             ids, known, ends, data = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((1, np.int64), (2, bool), (3, np.int64), (4, np.uint8)))
             yield chunk, ids, known, np.concatenate([[0], ends]), data
+            B.trim()
 
 
 def repeated_keys(packs: DataFrame, keys_of, bits: int, folder: str, frequent: int) -> set[int]:

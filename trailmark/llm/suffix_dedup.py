@@ -212,6 +212,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             n = run_of[mine + 1] - run_of[mine]
             r = _inside(run_of[mine], n)
             rows.append((p["shard"], p["chunk"], *pack(n.astype(np.uint16), run_size[r].astype(np.uint16), value[run][r])))
+        B.trim()
         return pa.table({c: pa.array(x, t) for c, x, t in zip(("shard", "chunk", "runs", "sizes", "ids"), zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 3))})
 
     def store_answers(table: pa.Table) -> pa.Table:
