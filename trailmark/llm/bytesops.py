@@ -23,6 +23,14 @@ IN_WORD = ~SPACE
 LOWER = np.where((BYTES >= 65) & (BYTES <= 90), BYTES + 32, BYTES).astype(np.uint8)
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Lower case of A to Z and of the accented Latin letters U+00C0 to U+00DE (two bytes, the first 0xC3)."""
+    low = LOWER[data]
+    accented = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    low[accented] += 32
+    return low
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> U(30))

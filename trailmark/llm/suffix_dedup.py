@@ -35,7 +35,7 @@ from .space import shared_dir, written
 U = B.U
 CHUNK = 8 << 20
 #: Window starts that are looked at together; occurrences from which an anchor sends single windows.
-STARTS, FREQUENT = 1 << 20, 20000
+STARTS, FREQUENT = 1 << 19, 20000
 LAST = np.iinfo(np.int64).max
 
 
