@@ -220,9 +220,10 @@ def linked(nodes: DataFrame, distance: int = 4, shuffle_rows: int = 1 << 20) ->
     keyed = keyed.select("id", "fp", F.xxhash64("key.choice", "key.bits").alias("key")).repartition(parts, "key")
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         node, fp, key = (table.column(c).to_numpy() for c in ("id", "fp", "key"))
         order = np.lexsort((gray_rank(fp.view(U)), key))
         node, fp, key = node[order], fp[order].view(U), key[order]
