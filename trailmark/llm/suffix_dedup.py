@@ -33,7 +33,7 @@ from .repeats import chunks, cuts, pack, repeated_keys
 from .space import shared_dir, written
 
 U = B.U
-CHUNK = 4 << 20
+CHUNK = 8 << 20
 #: Window starts that are looked at together; occurrences from which an anchor sends single windows.
 STARTS, FREQUENT = 1 << 19, 20000
 LAST = np.iinfo(np.int64).max
@@ -124,7 +124,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     n_chunks = packs.count()
     bits = max(3, n_chunks.bit_length())
     # suffix sorting takes some dozens of bytes for each byte of context
-    anchor_bits, bits = bits, bits + 1
+    anchor_bits, bits = bits, bits + 4
     shards = 1 << bits
 
     def anchor_keys(ids, offsets, data):
