@@ -16,7 +16,7 @@ VISIT = "user_id long, url string, title string, start_s double, duration_s doub
 STATE = "current string, tabs string"
 
 
-def _advance(key, batches, state: GroupState):
+def _advance(key, batches, state: GroupState, idle_ms: int | None = None):
     current, tabs = (json.loads(x) for x in state.get) if state.exists else (None, {})
     out = []
 
@@ -44,19 +44,25 @@ def _advance(key, batches, state: GroupState):
         if current:
             current["last"] = t.ts_s
     state.update((json.dumps(current), json.dumps(tabs)))
-    state.setTimeoutDuration(state_timeout_ms)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(out, columns=[c.split()[0] for c in VISIT.split(", ")])
 
 
-#: How long after its last tick a visit counts as over.
-state_timeout_ms = 3_600_000
+def visit_stream(ticks: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """VISIT rows as visits end. ticks: a stream of user_id, tick_id, ts_s, tab_id, incognito, url, title.
 
-
-def visit_stream(ticks: DataFrame) -> DataFrame:
-    """VISIT rows as visits end. ticks: a stream of user_id, tick_id, ts_s, tab_id, incognito, url, title."""
+    idle_ms: how long after its last tick a user's visit counts as over. Without it the last visit stays open until
+    the next tick; a stream that is to be drained needs that, as timeouts keep a drained stream waiting.
+    """
     web = F.when(~F.coalesce("incognito", F.lit(False)), urls.normalize(F.col("url")))
     rows = ticks.withColumn("web_url", web).select("user_id", "tick_id", "ts_s", "tab_id", "web_url", "title")
-    return rows.groupBy("user_id").applyInPandasWithState(_advance, VISIT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+    def advance(key, batches, state):
+        yield from _advance(key, batches, state, idle_ms)
+
+    return rows.groupBy("user_id").applyInPandasWithState(advance, VISIT, STATE, "append", timeout)
 
 
 def ingest(ticks: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
