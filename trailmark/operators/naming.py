@@ -70,7 +70,7 @@ def names(pages: DataFrame, anchors: DataFrame) -> DataFrame:
     generic = generic_titles(cleaned).select("host", "lowered", F.lit(True).alias("generic"))
     rows = cleaned.withColumn("lowered", F.lower("clean")).join(generic, ["host", "lowered"], "left").join(anchors, "page_id", "left")
     usable = (F.col("clean") != "") & ~F.col("clean").rlike(DEFAULT_TITLE)
-    telling = F.try_element_at(F.filter(F.transform("anchors", F.trim), lambda a: (a != "") & ~a.rlike(NO_NAME)), F.lit(1))
+    telling = F.try_element_at(F.filter(F.transform("anchors", lambda a: F.trim(a)), lambda a: (a != "") & ~a.rlike(NO_NAME)), F.lit(1))
     tail = F.coalesce(urls.unquoted(F.try_element_at(urls.segments(F.col("url")), F.lit(-1))), F.col("host"))
     cut = lambda c: F.left(c, F.lit(NAME_CHARS))
     name = F.coalesce(

@@ -31,32 +31,31 @@ def shown(c: Column | str, sep: str = " | ") -> Column:
 # --- URLs
 
 
-def _url_query(name: str, *columns: Column) -> None:
+def _url_query(name: str, columns: Callable[[], tuple]) -> None:
     def run(spark, sf):
         rows = world.raw_pages(spark, sf).select("page_id", urls.normalize(F.col("url")).alias("url"), F.col("url").alias("raw"))
-        return rows.select("page_id", *columns)
+        return rows.select("page_id", *columns())
 
     QUERIES[name] = run
 
 
-U = F.col("url")
-_url_query("url_normalize", U.alias("url"))
-_url_query("url_origin", urls.origin(F.col("raw")).alias("origin"))
-_url_query("url_segments", shown(urls.segments(F.col("raw")), "|").alias("segments"), F.size(urls.segments(F.col("raw"))).alias("n"))
-_url_query("url_kind", urls.kind(F.concat(urls.origin(U), urls.path(U), F.element_at(F.array(*map(F.lit, ["", ".pdf", "x.pptx", "v.mp4", "a.zip", "b.PDF", ".md"])), (F.col("page_id") % 7 + 1).cast("int")))).alias("kind"))
-_url_query("url_template", urls.template(U).alias("template"))
-_url_query("url_words", urls.words(U).alias("words"))
-_url_query("url_directory", urls.directory(U).alias("directory"), urls.path_key(U).alias("path_key"))
-_url_query("segment_shape", shown(F.transform(urls.segments(U), urls.segment_shape), "|").alias("shapes"))
-_url_query("action_urls", urls.is_action(F.concat(U, F.element_at(F.array(*map(F.lit, ["", "/logout", "/edit", "/edits", "?do=Delete"])), (F.col("page_id") % 5 + 1).cast("int")))).alias("is_action"))
-_url_query("short_url", urls.short(F.concat(U, F.repeat(F.lit("/abcdefghij"), (F.col("page_id") % 5).cast("int")))).alias("short"))
-_url_query("place_alias", urls.alias(urls.origin(U), F.concat(F.regexp_replace(urls.path(U), r"/?$", "/"), F.when(F.col("page_id") % 2 == 0, F.lit("My%20Docs/")).otherwise(F.lit("")))).alias("alias"))
+_url_query("url_normalize", lambda: (F.col("url").alias("url"),))
+_url_query("url_origin", lambda: (urls.origin(F.col("raw")).alias("origin"),))
+_url_query("url_segments", lambda: (shown(urls.segments(F.col("raw")), "|").alias("segments"), F.size(urls.segments(F.col("raw"))).alias("n"),))
+_url_query("url_kind", lambda: (urls.kind(F.concat(urls.origin(F.col("url")), urls.path(F.col("url")), F.element_at(F.array(*map(F.lit, ["", ".pdf", "x.pptx", "v.mp4", "a.zip", "b.PDF", ".md"])), (F.col("page_id") % 7 + 1).cast("int")))).alias("kind"),))
+_url_query("url_template", lambda: (urls.template(F.col("url")).alias("template"),))
+_url_query("url_words", lambda: (urls.words(F.col("url")).alias("words"),))
+_url_query("url_directory", lambda: (urls.directory(F.col("url")).alias("directory"), urls.path_key(F.col("url")).alias("path_key"),))
+_url_query("segment_shape", lambda: (shown(F.transform(urls.segments(F.col("url")), urls.segment_shape), "|").alias("shapes"),))
+_url_query("action_urls", lambda: (urls.is_action(F.concat(F.col("url"), F.element_at(F.array(*map(F.lit, ["", "/logout", "/edit", "/edits", "?do=Delete"])), (F.col("page_id") % 5 + 1).cast("int")))).alias("is_action"),))
+_url_query("short_url", lambda: (urls.short(F.concat(F.col("url"), F.repeat(F.lit("/abcdefghij"), (F.col("page_id") % 5).cast("int")))).alias("short"),))
+_url_query("place_alias", lambda: (urls.alias(urls.origin(F.col("url")), F.concat(F.regexp_replace(urls.path(F.col("url")), r"/?$", "/"), F.when(F.col("page_id") % 2 == 0, F.lit("My%20Docs/")).otherwise(F.lit("")))).alias("alias"),))
 
 
 @query
 def url_relation(spark, sf):
     rows = world.html_links(spark, sf).select("page_id", "link_seq", "target", "url")
-    return rows.select("page_id", "link_seq", urls.relation(U, F.col("target"), urls.origin(U), F.lit("/")).alias("relation"))
+    return rows.select("page_id", "link_seq", urls.relation(F.col("url"), F.col("target"), urls.origin(F.col("url")), F.lit("/")).alias("relation"))
 
 
 # --- HTML
@@ -95,7 +94,7 @@ def page_outline(spark, sf):
 @query
 def compose_snippet(spark, sf):
     rows = _parsed(spark, sf)
-    crumb = F.when(F.col("page_id") % 2 == 0, urls.host(U)).otherwise(F.lit(""))
+    crumb = F.when(F.col("page_id") % 2 == 0, urls.host(F.col("url"))).otherwise(F.lit(""))
     return rows.select("page_id", T.snippet(F.col("title"), crumb, shown("headings")).alias("snippet"))
 
 
@@ -681,7 +680,7 @@ def _targets(spark, sf):
     """Links of each page, and its neighbour in the table as a link of its site."""
     rows = world.html_links(spark, sf).select(F.col("page_id").alias("job_id"), F.col("url").alias("from_url"), F.col("target").alias("url"), "link_seq")
     own = world.pages(spark, sf).select(F.col("page_id").alias("job_id"), F.col("url").alias("from_url"), "url", F.lit(90).alias("link_seq"))
-    below = own.select("job_id", "from_url", F.concat(urls.origin(U), urls.directory(U), F.lit("deep/page.html")).alias("url"), F.lit(91).alias("link_seq"))
+    below = own.select("job_id", "from_url", F.concat(urls.origin(F.col("url")), urls.directory(F.col("url")), F.lit("deep/page.html")).alias("url"), F.lit(91).alias("link_seq"))
     return rows.union(own).union(below)
 
 
@@ -697,7 +696,7 @@ def crawl_budget(spark, sf):
 
 @query
 def crawl_discover(spark, sf):
-    scopes = world.pages(spark, sf).select(F.col("url").alias("from_url"), urls.origin(U).alias("origin"), urls.directory(U).alias("path_prefix"))
+    scopes = world.pages(spark, sf).select(F.col("url").alias("from_url"), urls.origin(F.col("url")).alias("origin"), urls.directory(F.col("url")).alias("path_prefix"))
     return crawl.discovered(_targets(spark, sf), world.pages(spark, sf), scopes)
 
 
@@ -708,7 +707,7 @@ def _replies(spark, sf):
     kind = F.when(i % 9 == 2, "application/pdf").when(i % 9 == 3, "image/png").otherwise("text/html; charset=utf-8")
     form = F.when(i % 9 == 4, F.lit('<input type="password">')).otherwise(F.lit(""))
     body = F.when(F.startswith(kind, F.lit("text/")) & (status == 200), F.concat("html", form))
-    return world.raw_pages(spark, sf).select(urls.normalize(U).alias("url"), status.alias("status"), kind.alias("content_type"), urls.normalize(U).alias("final_url"), body.alias("body"))
+    return world.raw_pages(spark, sf).select(urls.normalize(F.col("url")).alias("url"), status.alias("status"), kind.alias("content_type"), urls.normalize(F.col("url")).alias("final_url"), body.alias("body"))
 
 
 @query
