@@ -76,7 +76,7 @@ def discovered(targets: DataFrame, pages: DataFrame, scopes: DataFrame) -> DataF
     (job order, then link order), if the target lies in it. scopes: from_url, origin, path_prefix."""
     new = targets.join(pages.select("url"), "url", "left_anti").select(*targets.columns)
     first = new.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("job_id", "link_seq"))).where("r = 1")
-    rows = first.join(scopes, "from_url", "left")
+    rows = first.join(scopes.dropDuplicates(["from_url"]), "from_url", "left")
     inside = urls.in_scope(F.col("url"), F.col("origin"), F.col("path_prefix"))
     return rows.select("url", urls.kind(F.col("url")).alias("kind"), F.when(inside, F.concat("origin", "path_prefix")).alias("place_scope"))
 
