@@ -67,7 +67,7 @@ def frontier(targets: DataFrame, pages: DataFrame, now: float, refresh_s: float
 
 def budgeted(rows: DataFrame, budget: int = DEFAULT.page_budget) -> DataFrame:
     """The first `budget` of each page's frontier: deeper links first, then in page order; numbered by turn."""
-    order = Window.partitionBy("from_url").orderBy(F.col("relation") != "deeper", "link_seq")
+    order = Window.partitionBy("from_url").orderBy(F.col("relation") != "deeper", "link_seq", "url")
     return rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= budget)
 
 

@@ -569,7 +569,7 @@ FT = f"""{TG}, ft AS (SELECT from_url, url, link_seq, CASE WHEN starts_with({pat
   AND NOT regexp_matches({path('url')}, '(?i)\\.(pdf|pptx?|key|mp4|mov|webm|m4v|docx?|xlsx?|zip|tar|gz|txt|md|ipynb|py|java|go|c|h|cpp|rs|png|jpe?g|gif|svg)$')
   AND NOT EXISTS (SELECT 1 FROM pg p WHERE p.url = t.url AND ((p.visited AND p.snippet <> '') OR p.crawled_at > {NOW} - 86400)))"""
 add("crawl_frontier", FT, "SELECT * FROM ft")
-add("crawl_budget", FT, "SELECT from_url, url, turn FROM (SELECT *, row_number() OVER (PARTITION BY from_url ORDER BY relation <> 'deeper', link_seq) AS turn FROM ft) WHERE turn <= 3")
+add("crawl_budget", FT, "SELECT from_url, url, turn FROM (SELECT *, row_number() OVER (PARTITION BY from_url ORDER BY relation <> 'deeper', link_seq, url) AS turn FROM ft) WHERE turn <= 3")
 add("crawl_discover", TG, f"""SELECT url, 'html' AS kind, CASE WHEN {origin('url')} = {origin('from_url')} AND starts_with(rtrim({path('url')}, '/') || '/', {directory('from_url')}) THEN {origin('from_url')} || {directory('from_url')} END AS place_scope
   FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY job_id, link_seq) AS r FROM tg t WHERE NOT EXISTS (SELECT 1 FROM pg p WHERE p.url = t.url)) WHERE r = 1""")
 REPLY = f"""rp AS (SELECT page_id, url, title, headings, snippet, visited, CASE page_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM pg)"""
