@@ -180,7 +180,7 @@ def asked(queries: DataFrame, requests: DataFrame, scorer: Scorer) -> DataFrame:
                     out.append(None)
             yield pd.DataFrame({"query_id": batch["query_id"], "answer": out})
 
-    return rows.select("query_id", "query", "criteria").mapInPandas(run, rows.select("query_id", F.lit("").alias("answer")).schema)
+    return rows.select("query_id", "query", "criteria").mapInPandas(run, rows.select("query_id", F.lit(None).cast("string").alias("answer")).schema)
 
 
 def search(index_: Index, queries: DataFrame, now: float, scorer: Scorer | None = None, k: int = DEFAULT.results, **how) -> DataFrame:
