@@ -70,7 +70,7 @@ def packed(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
-    """Hash of each anchor, the first window start that has it, and the number of starts in a row that do."""
+    """Key of each anchor, the first window start that has it, and the number of starts in a row that do."""
     found = []
     n, width = len(data), length - k + 1
     for lo in range(0, n, STARTS):
@@ -96,7 +96,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
         stop = ok.copy()
         stop[:-1] &= (least[1:] != least[:-1]) | ~ok[1:]
         # a window of the next text never continues one: between them are starts without room
-        found.append((h[(least[first] & U((1 << 21) - 1)).astype(np.int64)], lo + first, np.flatnonzero(stop) - first + 1))
+        # least hashes crowd at small values; mixed once more, they spread evenly over the shards
+        key = B.mix64(h[(least[first] & U((1 << 21) - 1)).astype(np.int64)])
+        found.append((key, lo + first, np.flatnonzero(stop) - first + 1))
     if not found:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
@@ -124,7 +126,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     n_chunks = packs.count()
     bits = max(3, n_chunks.bit_length())
     # suffix sorting takes some dozens of bytes for each byte of context
-    anchor_bits, bits = bits, bits + 4
+    anchor_bits, bits = bits, bits + 2
     shards = 1 << bits
 
     def anchor_keys(ids, offsets, data):
