@@ -243,18 +243,19 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 earlier = stored["ids"][run] < owner[occurrence]
                 first, size = first[earlier], stored["sizes"][run][earlier].astype(np.int64)
                 gone = B.covered(first, first + size + length - 1, len(data))
-            s, _ = B.spans(gone, offsets)
+            first, end = B.spans(gone, offsets)
+            of = B.bounds(first, offsets)
+            removed = B.sums(end - first, of)
             kept = data[~gone]
-            ends = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-            out = [kept[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+            ends = offsets - np.concatenate([[0], np.cumsum(removed)])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, mask=~has_id),
                     pa.array(np.diff(offsets)),
-                    pa.array(B.sums(gone, offsets)),
-                    pa.array(np.diff(B.bounds(s, offsets))),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in out]),
-                    pa.array(out, pa.binary()),
+                    pa.array(removed),
+                    pa.array(np.diff(of)),
+                    pa.array([hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip(ends, ends[1:])]),
+                    pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(kept)]).cast(pa.binary()),
                 ],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
