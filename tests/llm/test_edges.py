@@ -197,6 +197,22 @@ def test_an_answer_must_be_there(spark):
     assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
+def drawn(seed):
+    rng = np.random.default_rng(seed)
+    return lambda k: [f"v{x}" for x in rng.integers(0, 30000, k)]
+
+
+def test_every_item_of_a_large_benchmark_is_found(spark):
+    draw = drawn(3)
+    items = [draw(38) for _ in range(3000)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    texts = [(i, " ".join(draw(30) + items[i] + draw(30))) for i in range(0, 3000, 2)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
+    assert {(i, i) for i, _ in texts} <= found
+    assert decontaminate.without_leaks(docs, bench).count() == 0
+
+
 def test_compact_windows(spark, docs, empty):
     words = PASSAGE.split()
     near = " ".join("changed" if i == 40 else w for i, w in enumerate(words))
