@@ -290,3 +290,13 @@ def test_licences(docs, empty):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
     assert found[10].labels == "cc-by,gpl,mit,proprietary,reserved" and found[7].labels == ""
     assert license_index.scan(empty).collect() == []
+
+
+def test_every_wording_of_a_document_is_found(spark):
+    wordings = [text for _, text, _ in license_index.TEMPLATES]
+    texts = ["\n\n".join(wordings)] + [f"{wordings[1]}\n\n{other}" for other in wordings] + ["plain words of any other text"] * 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    found = {r.doc_id: set(r.labels.split(",")) for r in license_index.scan(docs).collect()}
+    assert {label for label, _, _ in license_index.TEMPLATES} <= found[0]
+    for i, (label, _, _) in enumerate(license_index.TEMPLATES):
+        assert {"mit", label} <= found[1 + i]

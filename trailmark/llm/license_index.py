@@ -1,7 +1,7 @@
 """Licence scan with a positional index of rare tokens.
 
 The words of the licence wordings are counted over all documents. The index holds, for each wording, the places of
-its rarest words. A document's highest-IDF licence words are looked up in it; each hit says where the wording would
+its rarest words, as many as any acceptable place must share one of. All of a document's words are looked up in it; each hit says where the wording would
 begin, hits that agree (give or take a few words) are intersected, and such a place is accepted if the words that
 stand there carry enough of the wording's IDF and every mandatory phrase of the wording stands near it.
 """
@@ -18,8 +18,8 @@ from .license_templates import BASE, TEMPLATES
 
 #: A word is a run of these: digits, letters a to z and whatever is not ASCII.
 LETTER = ((B.BYTES >= 0x30) & (B.BYTES <= 0x39)) | ((B.BYTES >= 0x61) & (B.BYTES <= 0x7A)) | (B.BYTES >= 0x80)
-#: Words by which a hit may be out of place, licence words looked up in a document, share of IDF that accepts.
-SLACK, LOOKED_UP, ACCEPT = 2, 16, 0.6
+#: Words by which a hit may be out of place, share of IDF that accepts.
+SLACK, ACCEPT = 2, 0.6
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,25 +61,20 @@ class Index:
         self.words = [np.searchsorted(self.known, _hashes(t)) for _, t, _ in TEMPLATES]
         self.mass = np.array([self.idf[w].sum() for w in self.words])
         self.phrases = [[_hashes(p) for p in phrases] for _, _, phrases in TEMPLATES]
-        posts = [(w, t, i) for t, ws in enumerate(self.words) for i, w in enumerate(ws) if self.idf[w] >= 0.5 * self.idf[ws].max()]
+        posts = []
+        for t, ws in enumerate(self.words):
+            order = np.argsort(-self.idf[ws], kind="stable")
+            # the words before have less than 1 - ACCEPT of the IDF, so that without this one a place could do without all
+            needed = np.cumsum(self.idf[ws][order]) - self.idf[ws][order] <= (1 - ACCEPT) * self.mass[t]
+            posts += [(ws[i], t, i) for i, must in zip(order, needed) if must or self.idf[ws[i]] >= 0.5 * self.idf[ws].max()]
         posts = np.array(sorted(posts), np.int64).reshape(-1, 3)
         self.first = np.searchsorted(posts[:, 0], np.arange(len(self.known) + 1))
         self.wording, self.place = posts[:, 1], posts[:, 2]
 
-    def candidates(self, h: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Distinct (wording, place in h where it would begin), from each text's rarest licence words."""
+    def candidates(self, h: np.ndarray) -> np.ndarray:
+        """Distinct (wording, place in h where it would begin), from all the texts' words that have postings."""
         at = np.flatnonzero(B.among(h, self.known))
         word = np.searchsorted(self.known, h[at])
-        rare = np.diff(self.first)[word] > 0
-        at, word = at[rare], word[rare]
-        owner = B.owners(of)[at]
-        pair, back = np.unique(owner * len(self.known) + word, return_inverse=True)
-        order = np.lexsort((-self.idf[pair % len(self.known)], pair // len(self.known)))
-        doc = (pair // len(self.known))[order]
-        rank = np.empty(len(pair), np.int64)
-        rank[order] = np.arange(len(pair)) - np.searchsorted(doc, doc)
-        looked = rank[back] < LOOKED_UP
-        at, word = at[looked], word[looked]
         n = np.diff(self.first)[word]
         hit = np.repeat(np.arange(len(at)), n)
         post = self.first[word][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
@@ -129,7 +124,7 @@ def scan_piece(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, inde
     first = [int(at[a] - o) if a < b else None for a, b, o in zip(cut, cut[1:], of)]
     last = [int(at[b - 1] - o) if a < b else None for a, b, o in zip(cut, cut[1:], of)]
     score = np.zeros(n_docs)
-    for wording, begin in index.candidates(h, of):
+    for wording, begin in index.candidates(h):
         # a wording that would begin before its text is cut off there; which text: that of its rare words
         inside = min(max(begin, 0), len(h) - 1)
         for doc in {int(owner[inside]), int(owner[min(begin + len(index.words[wording]) - 1, len(h) - 1)])}:
