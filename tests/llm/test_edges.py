@@ -300,3 +300,13 @@ def test_every_wording_of_a_document_is_found(spark):
     assert {label for label, _, _ in license_index.TEMPLATES} <= found[0]
     for i, (label, _, _) in enumerate(license_index.TEMPLATES):
         assert {"mit", label} <= found[1 + i]
+
+
+def test_a_long_item_is_found(spark):
+    draw = drawn(5)
+    items = [draw(38) for _ in range(39)] + [draw(n) for n in (300, 500, 800, 1200) for _ in range(4)]
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    texts = [(i, " ".join(draw(200) + t + draw(200))) for i, t in enumerate(items)]
+    texts += [(i, " ".join(draw(500))) for i in range(100, 120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(len(items))}
