@@ -310,3 +310,21 @@ def test_a_long_item_is_found(spark):
     texts += [(i, " ".join(draw(500))) for i in range(100, 120)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(len(items))}
+
+
+def test_similar_windows_against_all_offsets():
+    rng = np.random.default_rng(6)
+    least, need = 46, 0.8 * 2 * 46 / 1.8
+    some = 0
+    for case in range(400):
+        n = int(rng.integers(50, 61))
+        passage = rng.integers(0, 30 if case % 4 == 0 else 1 << 40, n)
+        edit = int(rng.integers(5, n - 5))
+        other = np.delete(passage, edit) if case % 2 else np.insert(passage, edit, 1 << 41)
+        around = [rng.integers(0, 1 << 40, 30) for _ in range(4)]
+        a, b = (np.concatenate([around[i], p, around[i + 1]]).astype(np.uint64) for i, p in ((0, passage), (2, other)))
+        m = min(len(a), len(b)) - least + 1
+        want = [i for i in range(m) if sum((Counter(a[i : i + least].tolist()) & Counter(b[i : i + least].tolist())).values()) >= need - 1e-9]
+        assert compact_windows.similar(a, b, least, 0.8).tolist() == want
+        some += bool(want)
+    assert some > 200
