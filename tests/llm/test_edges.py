@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from trailmark.llm import compact_windows, decontaminate, license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
+from trailmark.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, slot long, key long, size long, chunk long, row string, copies int, h string"
@@ -312,6 +313,13 @@ def test_a_long_item_is_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(i, i) for i in range(len(items))}
 
 
+def test_components_that_have_not_settled_are_an_error(spark):
+    path = spark.range(200).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError):
+        components(path, rounds=2)
+    assert {r.component for r in components(path).collect()} == {0}
+
+
 def test_similar_windows_against_all_offsets():
     rng = np.random.default_rng(6)
     least, need = 46, 0.8 * 2 * 46 / 1.8

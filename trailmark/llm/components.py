@@ -22,7 +22,7 @@ def _star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component (its smallest node) for every node that has an edge. edges: a, b longs, in either direction,
-    repeats and loops allowed."""
+    repeats and loops allowed. An error, if the edges have not settled after `rounds`."""
     one = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     one = written(one.distinct(), "edges")
     state = None
@@ -36,6 +36,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small = _star(large)
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         one = written(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a != b").distinct(), "edges")
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return one.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").union(
         one.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
