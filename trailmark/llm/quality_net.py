@@ -96,7 +96,7 @@ def contexts(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, into: np.
 
 
 class Network:
-    """x -> tanh -> a logit, by Adam on the cross entropy with classes weighted alike on a square root scale."""
+    """x -> tanh -> a logit, by Adam on the cross entropy. Both classes count by their rows."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 48, epochs: int = 60, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -138,8 +138,8 @@ class Network:
 
 
 def fold(doc_id: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo 3; rows with 1 are held out."""
-    return F.crc32(F.col(doc_id).cast("string")) % 3
+    """crc32 of the id as text, modulo 3; rows with 1 are held out. -1 for a null id: not held out, nor learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(-1))
 
 
 def pooled_rows(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
@@ -160,19 +160,21 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[n
     index = index_vectors()
 
     def gather(batches):
-        into, n = np.zeros((BUCKETS, DIM), np.float32), 0
+        into, n = np.zeros((BUCKETS, DIM)), 0
         for batch in batches:
             for _, data, offsets in B.pieces(batch):
                 contexts(data, offsets, index, into)
                 n += 1
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([into.astype(np.float16).tobytes()], pa.binary())], ["part"])
+            yield pa.RecordBatch.from_arrays([pa.array([into.astype(np.float32).tobytes()], pa.binary())], ["part"])
 
     # ordered, so that the sum and with it the scores agree between runs
     parts = sorted(bytes(r[0]) for r in sample.select("text").coalesce(8).mapInArrow(gather, "part binary").collect())
-    context = sum((np.frombuffer(p, np.float16).reshape(BUCKETS, DIM).astype(np.float32) for p in parts), np.zeros((BUCKETS, DIM), np.float32))
+    context = sum((np.frombuffer(p, np.float32).reshape(BUCKETS, DIM) for p in parts), np.zeros((BUCKETS, DIM)))
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = index + context / np.maximum(norm, 1e-6) * np.float32(0.5)
+    vectors = (index + context / np.maximum(norm, 1e-6) * 0.5).astype(np.float32)
+    if not np.isfinite(vectors).all():
+        raise FloatingPointError("word vectors are not finite")
 
     rows = pooled_rows(sample, vectors).toPandas().drop_duplicates("doc_id").merge(ids, on="doc_id").sort_values("doc_id")
     x = np.stack(rows.x) if len(rows) else np.zeros((0, DIM + 1))
@@ -187,7 +189,7 @@ def scored(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """doc_id, held_out, score, predicted for each row of docs.
 
     Null and empty texts score by the network's answer to no words; without labelled rows the network is untrained
-    and its scores mean nothing, but are there. Rows of one text score alike.
+    and its scores mean nothing, but are there. Rows of one text score alike. Rows with a null id are not held out.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     vectors, net = trained(narrow, labels, **fit)
