@@ -86,16 +86,19 @@ def copies(units: DataFrame, row: str = "row", seed: int = 17, block: int = BLOC
 
     Units without words are never taken. Blocks of the first level hold one size class of one source and about
     `block` units at most whatever a source's or class's share of all rows; later levels hold `block` leftovers.
+    Equal units are counted, and told apart by numbers: so they are dealt to blocks like any others.
     """
+    units = units.groupBy("source", F.col(row).alias("row"), "size", "f").agg(F.count(F.lit(1)).alias("n"))
+    units = units.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     whole = F.floor("f")
     rest = F.col("f") - whole
     rest = F.when(rest < 1e-9, 0.0).when(rest > 1 - 1e-9, 1.0).otherwise(rest)
-    base = units.select("source", F.col(row).alias("row"), "size", whole.cast("int").alias("whole"), rest.alias("p"))
-    base = base.withColumn("mark", F.xxhash64(F.lit(seed), F.col("row"), F.col("size")))
+    base = units.select("source", "row", "size", "nth", whole.cast("int").alias("whole"), rest.alias("p"))
+    base = written(base.withColumn("mark", F.xxhash64(F.lit(seed), F.col("row"), F.col("size"), F.col("nth"))), "mix-units")
     settled = base.where((F.col("size") <= 0) | F.col("p").isin(0.0, 1.0))
     out = settled.select("source", "row", F.when(F.col("size") <= 0, 0).otherwise(F.col("whole") + F.col("p").cast("int")).cast("int").alias("copies"))
     open_ = base.where((F.col("size") > 0) & ~F.col("p").isin(0.0, 1.0))
-    n = units.count()
+    n = base.count()
     salts = max(1, -(-n // block))
     unit = F.struct("size", "mark", F.struct("row", "whole").alias("row"), "p")
     level = open_.select("source", F.floor(F.log2("size") * 4).cast("int").alias("class"), F.pmod("mark", F.lit(salts)).alias("salt"), unit.alias("unit"))
