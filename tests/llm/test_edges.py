@@ -1,6 +1,8 @@
 """Every operator on null, empty and very long texts, repeated rows, ties, clashing columns and empty tables."""
 
+import glob
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -8,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from trailmark.llm import compact_windows, decontaminate, license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
 from trailmark.llm.components import components
@@ -81,6 +84,25 @@ def test_shards_are_even_although_one_text_has_most_rows(spark):
     assert sorted(got) == sorted(again)
 
 
+def test_equal_rows_are_spread_over_shards_and_columns_keep_their_values(spark, docs):
+    same = spark.range(20000).selectExpr("CAST(7 AS long) AS doc_id", "'one text' AS text")
+    got = {r.shard: (r.n, r.most) for r in shard_histogram.shard(same, shards=4).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("most")).collect()}
+    assert got == {s: (5000, 4999) for s in range(4)}
+    out = shard_histogram.shard(docs, shards=4, cell_rows=3, cell_bytes=1000)
+    assert {*docs.columns} - {"shard", "slot"} | {"shard_before", "slot_before", "shard_size", "shard", "slot"} == {*out.columns}
+    assert {r.shard_before for r in out.collect()} == {1}
+    fine = {(r.doc_id, r.shard, r.slot) for r in out.collect()}
+    assert fine == {(r.doc_id, r.shard, r.slot) for r in shard_histogram.shard(docs, shards=4).collect()}
+
+
+def test_equal_rows_are_dealt_to_blocks_of_the_mix(spark):
+    units = spark.range(3000).selectExpr("'s' AS source", "CAST(1 AS long) AS row", "CAST(10 AS long) AS size", "0.5D AS f")
+    taken = mix_pivotal.copies(units, block=64).groupBy("copies").count().collect()
+    assert {r.copies: r["count"] for r in taken} == {0: 1500, 1: 1500}
+    level = spark.read.parquet(max(glob.glob(spark.conf.get("spark.checkpoint.dir").removeprefix("file://") + "/trailmark/mix-level1-*"), key=os.path.getmtime))
+    assert max(r["count"] for r in level.groupBy("class", "salt").count().collect()) < 2 * 64
+
+
 def test_mix(docs, empty):
     found = mix_pivotal.mix(docs).collect()
     assert len(found) == len(rows())
@@ -235,6 +257,17 @@ def test_quality(docs, empty, labels):
     assert quality_net.accepted(docs, labels).columns == docs.columns
 
 
+def test_scores_of_long_repetitive_texts_are_numbers(spark):
+    texts = [(i if i else None, "spam " * 20000 if i % 2 else f"a quiet text of words {i} and some more") for i in range(400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame([(i, i % 2 ^ 1, 0) for i in range(1, 400)], "doc_id long, quality int, toxic int")
+    found = quality_net.scored(docs, marks).collect()
+    assert all(0 <= r.score <= 1 and r.held_out is not None for r in found)
+    held = [r for r in found if r.held_out]
+    assert len(held) > 80 and sum(r.predicted == (r.doc_id % 2 ^ 1) for r in held) >= 0.95 * len(held)
+    assert 150 < quality_net.accepted(docs, marks).count() < 250
+
+
 def brute_simhash(t, k=4):
     w = WORD.findall(lower(t or ""))
     parts = [" ".join(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [" ".join(w)] if w else []

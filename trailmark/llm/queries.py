@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compact_windows, decontaminate, license_index, lm_trie, mix_pivotal, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
+from . import compact_windows, decontaminate, license_index, lm_trie, mix_pivotal, oracle, quality_net, rules_forest, shard_histogram, simhash_gray, suffix_dedup
 from .space import table
 
 
 def op1_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     keyed = docs.select("doc_id", F.crc32("text").alias("text_crc32"), "text")
-    out = shard_histogram.shard(keyed)
+    out = shard_histogram.shard(keyed, carry=["doc_id", "text_crc32"])
     return out.select(
         "doc_id", F.col("shard_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
@@ -73,4 +73,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)

@@ -1,12 +1,15 @@
 """Sharding by histogram sort.
 
-Rows are ordered by (hash of the text, document id). Candidate boundary keys ("probes") are counted exactly - rows
-and bytes below each - in one aggregation a round; probes are refined between the nearest known keys until every
-boundary between shards is within tolerance of its byte target. Only then does each row move, once, to its place.
+Rows are ordered by (hash of the text, document id, serial number), which no two rows share. Candidate boundary keys
+("probes") are counted exactly - rows and bytes below each - in one aggregation a round, and refined between the
+nearest known keys until every boundary is settled. Only then does each row move, once, to its place.
 
-Boundaries fall between groups of equal texts wherever the tolerance allows; a group that is too large for that is
-cut by document id, so no group can overfill a shard. The known probes also cut shards into cells, which are sorted
-in parallel; a cell that holds too many rows gets more probes. Driver memory: the counts of the probes only.
+Where a boundary falls is fixed by the rows alone, however it is found: the edge between two groups of equal texts
+that is nearest to the byte target, if it is within tolerance; else the edge between two rows that is nearest. So a
+group that is larger than a shard is cut, by document id and then by serial number, and stays whole otherwise.
+
+The known probes also cut shards into cells, which are sorted in parallel; a cell that holds too many rows or bytes
+gets more probes, so there are more cells the more there is to sort. The driver holds the counts of the probes.
 """
 
 from __future__ import annotations
@@ -18,29 +21,30 @@ from pyspark.sql import functions as F
 
 from .space import written
 
-FULL = 1 << 128
-HALF = 1 << 64
+#: Bits of a key: the text's hash, the id, the serial number.
+TEXT, ID, SERIAL = 128, 64, 64
+FULL = 1 << (TEXT + ID + SERIAL)
+GROUP = 1 << (ID + SERIAL)
+#: Rows and bytes from which a cell gets more probes; probes between two known keys in a round.
+CELL_ROWS, CELL_BYTES, PROBES = 1 << 20, 1 << 29, 63
 
 
-def sort_key(text: str, doc_id: str) -> Column:
-    """32 hex digits: the text's hash, then the id with its sign bit flipped; null ids first. Orders like the pair."""
+def sort_key(text: str, doc_id: str, serial: Column) -> Column:
+    """64 hex digits: MD5 of the text (null: zeros), the id with its sign bit flipped (null ids first), the serial."""
     as_id = F.hex(F.col(doc_id).cast("long").bitwiseXOR(F.lit(-(1 << 63))))
-    return F.concat(F.lpad(F.hex(F.xxhash64(text)), 16, "0"), F.lpad(F.coalesce(as_id, F.lit("0")), 16, "0"))
+    return F.concat(F.coalesce(F.upper(F.md5(text)), F.lit("0" * 32)), F.lpad(F.coalesce(as_id, F.lit("0")), 16, "0"), F.lpad(F.hex(serial), 16, "0"))
 
 
 def text_size(text: str) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def _hex(key: int) -> str:
-    return f"{key:032x}".upper()
-
-
 def _index(key: Column, bounds: list[int]) -> Column:
     """How many bounds are at or below the key: a binary search over a literal array."""
     if not bounds:
         return F.lit(0)
-    known = F.split(F.lit(",".join(map(_hex, bounds))), ",")
+    # trailing zeros say nothing: a shorter string is less than all that begin like it
+    known = F.split(F.lit(",".join(f"{b:064x}".upper().rstrip("0") for b in bounds)), ",")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
 
     def step(at: Column, s: Column) -> Column:
@@ -70,68 +74,88 @@ class Histogram:
             self.below[key] = (n, size)
         self.keys = sorted(self.below)
 
+    def between(self, lo: int, hi: int) -> tuple[int, int]:
+        """Rows and bytes."""
+        return self.below[hi][0] - self.below[lo][0], self.below[hi][1] - self.below[lo][1]
+
     def around(self, target: float) -> tuple[int, int]:
-        """The neighbouring known keys between which the bytes below pass the target."""
+        """The last known key with at most `target` bytes below it, and the one after it."""
         i = bisect_right(self.keys, target, key=lambda k: self.below[k][1])
         i = min(max(i, 1), len(self.keys) - 1)
         return self.keys[i - 1], self.keys[i]
 
+    def nearest(self, target: float, slack: float) -> tuple[int | None, list[int]]:
+        """The boundary for a target, or else the probes that are still needed."""
+        lo, hi = self.around(target)
+        first, last = lo // GROUP, (hi - 1) // GROUP
+        if first == last:
+            # within one group; its edges first
+            edges = [first * GROUP, (first + 1) * GROUP]
+            if missing := [e for e in edges if e not in self.below]:
+                return None, missing
+            best = min(edges, key=lambda e: abs(self.below[e][1] - target))
+            if abs(self.below[best][1] - target) <= slack:
+                return best, []
+        if self.between(lo, hi)[0] <= 1 and (first == last or lo % GROUP == hi % GROUP == 0):
+            return min((lo, hi), key=lambda k: abs(self.below[k][1] - target)), []
+        return None, _between(lo, hi, PROBES)
+
 
 def _between(lo: int, hi: int, n: int) -> list[int]:
-    """Up to n keys in between; between groups of equal texts while lo and hi hold more than one group."""
-    unit = HALF if hi // HALF - lo // HALF > 1 else 1
+    """Up to n keys in between; edges of groups of equal texts while there are any."""
+    unit = GROUP if hi // GROUP - -(-lo // GROUP) >= 1 and hi - lo > GROUP else 1
     first, last = lo // unit, -(-hi // unit)
     found = {(first + (last - first) * i // (n + 1)) * unit for i in range(1, n + 1)}
-    if unit == 1 and lo // HALF != (hi - 1) // HALF:
-        found.add((lo // HALF + 1) * HALF)
+    if unit == 1 and lo // GROUP != (hi - 1) // GROUP:
+        found.add((lo // GROUP + 1) * GROUP)
     return sorted(k for k in found if lo < k < hi)
 
 
-def plan(rows: DataFrame, shards: int, tolerance: float, grid: int, rounds: int) -> tuple[list[int], list[int], Histogram]:
+def plan(rows: DataFrame, shards: int, tolerance: float, cell_rows: int, cell_bytes: int) -> tuple[list[int], list[int], Histogram]:
     """Boundaries of the shards and of all cells (which include them). rows: key, size."""
     hist = Histogram(rows)
     n, total = hist.below[FULL]
     if n == 0:
         return [], [], hist
-    hist.probe({(HALF * i // grid) * HALF for i in range(1, grid)})
-    slack = tolerance * total / shards
-    heavy = max(4 * n // grid, 1000)
-    chosen: list[int] = []
-    for _ in range(rounds):
+    cells = max(64 * shards, 4 * n // cell_rows, 4 * total // cell_bytes)
+    hist.probe({((1 << TEXT) * i // cells) * GROUP for i in range(1, cells)})
+    while True:  # each round cuts what is open by 16 at least, so 64 end it for any keys
         probes: set[int] = set()
         chosen = []
         for i in range(1, shards):
-            target = total * i / shards
-            lo, hi = hist.around(target)
-            off_lo, off_hi = target - hist.below[lo][1], hist.below[hi][1] - target
-            chosen.append(lo if off_lo <= off_hi else hi)
-            if min(off_lo, off_hi) > slack and hist.below[hi][0] - hist.below[lo][0] > 1:
-                probes.update(_between(lo, hi, 8))
+            found, wanted = hist.nearest(total * i / shards, tolerance * total / shards)
+            probes.update(wanted)
+            chosen.append(found)
         for lo, hi in zip(hist.keys, hist.keys[1:]):
-            if hist.below[hi][0] - hist.below[lo][0] > heavy:
+            in_rows, in_bytes = hist.between(lo, hi)
+            if in_rows > 1 and (in_rows > cell_rows or in_bytes > cell_bytes):
                 probes.update(_between(lo, hi, 15))
         if not probes:
-            break
+            return chosen, [k for k in hist.keys if 0 < k < FULL], hist
         hist.probe(probes)
-    return chosen, [k for k in hist.keys if 0 < k < FULL], hist
 
 
-def shard(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", tolerance: float = 0.005, grid: int = 1024, rounds: int = 64) -> DataFrame:
-    """All rows and columns of docs, and: shard_size long, shard int, slot long (gapless from 0 in each shard).
+def shard(docs: DataFrame, shards: int = 16, text: str = "text", doc_id: str = "doc_id", tolerance: float = 0.005, cell_rows: int = CELL_ROWS, cell_bytes: int = CELL_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """All rows of docs with their columns (or those that `carry` names), and: shard_size long, shard int, slot long (gapless from 0 in each shard).
 
-    Null texts count as empty, with size 1; null ids sort first. Repeated rows each get a slot of their own. An
-    empty table gives an empty one. Columns of docs that are named like the new ones are replaced.
+    Null texts count as empty, with size 1; null ids sort first. Repeated rows are told apart by a serial number, so
+    they are cut between shards like any others. An empty table gives an empty one. Columns of docs that are named
+    like the new ones keep their values under their name with `_before` added.
     """
-    own = docs.select(*(c for c in docs.columns if c not in ("shard_size", "shard", "slot")))
-    compact = written(docs.select(sort_key(text, doc_id).alias("key"), text_size(text).alias("size")), "shard-keys")
-    splits, cells, hist = plan(compact, shards, tolerance, grid, rounds)
+    taken = {"shard_size", "shard", "slot"} & {*docs.columns}
+    own = docs.withColumnsRenamed({c: f"{c}_before" for c in taken})
+    text, doc_id = (f"{c}_before" if c in taken else c for c in (text, doc_id))
+    kept = [f"{c}_before" if c in taken else c for c in carry or docs.columns]
+    # the serial number must be the same in every pass, so it is written
+    keyed = own.withColumns({"__tm_key": sort_key(text, doc_id, F.monotonically_increasing_id()), "shard_size": text_size(text)})
+    keyed = written(keyed.select(*kept, "__tm_key", "shard_size"), "shard-keyed")
+    splits, cells, hist = plan(keyed.select(F.col("__tm_key").alias("key"), F.col("shard_size").alias("size")), shards, tolerance, cell_rows, cell_bytes)
     starts = [0, *cells]
     shard_of = [bisect_right(splits, k) for k in starts]
     first = {s: hist.below[splits[s - 1] if s else 0][0] for s in set(shard_of)}
     literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",")
     cell = F.col("__tm_cell")
-    placed = own.withColumns({"__tm_key": sort_key(text, doc_id), "shard_size": text_size(text)})
-    placed = placed.withColumn("__tm_cell", _index(F.col("__tm_key"), cells))
+    placed = keyed.withColumn("__tm_cell", _index(F.col("__tm_key"), cells))
     order = Window.partitionBy("__tm_cell").orderBy("__tm_key")
     offset = F.get(literal([hist.below[k][0] - first[s] for k, s in zip(starts, shard_of)]), cell).cast("long")
     return placed.withColumns({"shard": F.get(literal(shard_of), cell).cast("int"), "slot": offset + F.row_number().over(order) - 1}).drop("__tm_key", "__tm_cell")
