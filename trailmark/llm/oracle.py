@@ -14,7 +14,7 @@ BYTES_OF = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x
 
 SHARDS = f"""
 WITH RECURSIVE {CRC},
-sized AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, coalesce(md5(text), '') AS h,
+sized AS (SELECT doc_id, coalesce(strlen(text), 0) + 1 AS size, coalesce(left(md5(text), 15), repeat('0', 15)) AS h,
     xor(4294967295, list_reduce({BYTES_OF}, lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1]), 4294967295::BIGINT)) AS crc32
   FROM documents, crc),
 placed AS (SELECT *, (sum(size) OVER (ORDER BY h, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM sized),
