@@ -181,6 +181,12 @@ def owners(at: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(at) - 1), np.diff(at))
 
 
+def inside(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of [start, start + size), one span after the other."""
+    size = size.astype(np.int64)
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def found_twice(key: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
     if len(key) < 2:

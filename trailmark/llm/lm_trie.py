@@ -13,20 +13,16 @@ shared folder. Scoring tasks map these files; they share the page cache and need
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .elias_fano import EliasFano
-from .space import shared_dir
+from .exchange import plain, planes
+from .files import mapped_file, put
+from .space import work_folder
 
 U = B.U
 END = U(0x5DEECE66D1CE4E5B)
@@ -37,47 +33,6 @@ HELD, SHARD_TOKENS, PIECE = 1 << 22, 1 << 22, 1 << 22
 COUNTED = "shard long, keys binary, counts binary"
 
 
-# --- files
-
-
-def put(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """One file with a header; a task that runs again replaces it whole."""
-    head, at, blobs = {}, 0, []
-    for key, a in arrays.items():
-        raw = np.ascontiguousarray(a)
-        head[key] = [at, len(raw), raw.dtype.str]
-        blobs.append(raw)
-        at += -(-raw.nbytes // 64) * 64
-    text = json.dumps(head).encode()
-    text += b" " * (-(len(text) + 8) % 64)
-    system, path = fs.FileSystem.from_uri(folder)
-    system.create_dir(path, recursive=True)
-    temp = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with system.open_output_stream(temp) as out:
-        out.write(len(text).to_bytes(8, "little") + text)
-        for raw in blobs:
-            out.write(raw.tobytes() + bytes(-raw.nbytes % 64))
-    system.move(temp, f"{path}/{name}")
-
-
-def mapped_file(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, as a memory map; from a store that is not a local folder, by way of a local copy."""
-    system, path = fs.FileSystem.from_uri(folder)
-    local = f"{path}/{name}"
-    if not isinstance(system, fs.LocalFileSystem):
-        local = f"{tempfile.gettempdir()}/{path.strip('/').replace('/', '-')}-{name}"
-        if not os.path.exists(local):
-            fs.copy_files(f"{path}/{name}", part := f"{local}.{uuid.uuid4().hex}", source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-            os.replace(part, local)
-    raw = np.memmap(local, np.uint8, "r")
-    size = int.from_bytes(raw[:8].tobytes(), "little")
-    out = {}
-    for key, (at, n, kind) in json.loads(raw[8 : 8 + size].tobytes()).items():
-        first = 8 + size + at
-        out[key] = raw[first : first + n * np.dtype(kind).itemsize].view(kind)
-    return out
-
-
 def _under(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {f"{prefix}.{k}": v for k, v in arrays.items()}
 
@@ -89,16 +44,6 @@ def _of(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 # --- counting
 
 
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes by significance, which the shuffle's compression then gets small."""
-    return a.view(np.uint8).reshape(len(a), -1).T.tobytes()
-
-
-def _plain(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and their summed counts."""
     if not len(keys):
@@ -118,7 +63,7 @@ def sent(batches, keys_of, shard_of):
         ends = np.append(cut[1:], len(shard))
         gaps = [np.diff(keys[a:b], prepend=U(0)) for a, b in zip(cut, ends)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[cut], pa.int64()), pa.array([_planes(g) for g in gaps], pa.binary()), pa.array([_planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
+            [pa.array(shard[cut], pa.int64()), pa.array([planes(g) for g in gaps], pa.binary()), pa.array([planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
             ["shard", "keys", "counts"],
         )
 
@@ -139,8 +84,8 @@ def sent(batches, keys_of, shard_of):
 
 
 def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(_plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")]
-    counts = [_plain(x.as_py(), "<i8") for x in table.column("counts")]
+    keys = [np.cumsum(plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")]
+    counts = [plain(x.as_py(), "<i8") for x in table.column("counts")]
     return merged(np.concatenate(keys), np.concatenate(counts))
 
 
@@ -265,9 +210,7 @@ def _within(hashes: np.ndarray, bits: int) -> np.ndarray:
 def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
     """A model of the texts of docs (column text). An empty table gives a model without words."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/trailmark/lm-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = "file://" + os.path.abspath(folder.removeprefix("file:"))
+    folder = work_folder(spark, "lm")
     texts = docs.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = max(1, (size // (16 << 20)).bit_length())

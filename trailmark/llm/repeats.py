@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bytesops as B
-from .lm_trie import _plain, _planes, put
+from .exchange import Records, bits_for
+from .files import put
 
 U = B.U
 
 
-def pack(*arrays: np.ndarray) -> list[bytes]:
-    return [_planes(a) if len(a) else b"" for a in arrays]
-
-
-def cuts(shard: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(shard, np.arange(shards + 1))
-
-
 def chunks(batches):
     """(chunk, ids, has_id, offsets, data) of each row of suffix_dedup.packed()."""
     for batch in batches:
@@ -30,57 +25,59 @@ def chunks(batches):
             B.trim()
 
 
-def repeated_keys(packs: DataFrame, keys_of, bits: int, folder: str, frequent: int) -> set[int]:
+def heads(*sorted_: np.ndarray) -> np.ndarray:
+    """Where a new value begins in any of the arrays."""
+    n = len(sorted_[0])
+    return np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in sorted_], axis=0))) if n else np.zeros(0, np.int64)
+
+
+def to_chunks(answers: DataFrame, records: Records, folder: str, name: str, order: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> None:
+    """Writes records that are routed by mix64(chunk), and have the chunk first, as one file <name>-<chunk> for each
+    chunk. order: of a chunk's columns, the order of its records."""
+
+    def store(table: pa.Table) -> pa.Table:
+        columns = records.read(table)[1:]
+        by = np.argsort(columns[0], kind="stable")
+        first = heads(columns[0][by])
+        for part in np.split(by, first[1:]):
+            chunk, *rest = records.take(columns, part)
+            if order:
+                _, *rest = records.take([chunk, *rest], order(rest))
+            put(folder, f"{name}-{chunk[0]}", dict(zip([*records.kinds][1:], rest)))
+        return pa.table({"chunks": pa.array([len(first)], pa.int64())})
+
+    records.grouped(answers).applyInArrow(store, "chunks long").count()
+
+
+def repeated_keys(packs: DataFrame, keys_of, n_keys: int, folder: str, frequent: int) -> None:
     """Writes repeats-<chunk>: the sorted keys of that chunk that two documents have (in whichever chunk), and which
-    occur `frequent` times or more. Returns the chunks that have any. keys_of(ids, offsets, data): keys, their ids."""
-    shards = 1 << bits
+    occur `frequent` times or more. Chunks without any get no file. keys_of(ids, offsets, data): keys, their ids."""
+    counts = Records(bits_for(n_keys), chunk="<i8", n="<u4")
+    found = Records(bits_for(n_keys), chunk="<i8", keys="<u8", often="|u1")
 
     def count(batches):
         for chunk, ids, _, offsets, data in chunks(batches):
             h, owner = keys_of(ids, offsets, data)
+            if not len(h):
+                continue
             order = np.lexsort((owner, h))
             h, owner = h[order], owner[order]
-            new = np.append(True, h[1:] != h[:-1])[: len(h)]
-            at = np.flatnonzero(new)
+            at = heads(h)
             n = np.diff(np.append(at, len(h)))
-            many = np.zeros(len(h), bool)
-            many[1:] = ~new[1:] & (owner[1:] != owner[:-1])
-            twice = np.add.reduceat(many, at) > 0 if len(at) else np.zeros(0, bool)
+            many = np.append(False, (h[1:] == h[:-1]) & (owner[1:] != owner[:-1]))
             # 1: in one document; else occurrences, 2 at least
-            n = np.where(twice, np.maximum(n, 2), 1).astype(np.uint32)
-            cut = cuts((h[at] >> U(64 - bits)).astype(np.int64), shards)
-            rows = [(s, chunk, *pack(np.diff(h[at][a:b], prepend=U(0)), n[a:b])) for s, (a, b) in enumerate(zip(cut, cut[1:])) if a < b]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "chunk", "keys", "counts"])
+            n = np.where(np.add.reduceat(many, at) > 0, np.maximum(n, 2), 1)
+            yield from counts.rows(h[at], np.full(len(at), chunk), n)
 
     def repeats(table: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")]
-        counts = np.concatenate([_plain(x.as_py(), "<u4") for x in table.column("counts")]).astype(np.int64)
-        h = np.concatenate(keys)
-        at = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        h, chunk, n = counts.read(table)
         order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        total = np.add.reduceat(counts[order], first)
-        size = np.diff(np.append(first, len(s)))
+        at = heads(h[order])
+        total = np.add.reduceat(n[order].astype(np.int64), at)
         back = np.empty(len(h), np.int64)
-        back[order] = np.repeat(total, size)
-        rows = []
-        for i, chunk in enumerate(table.column("chunk").to_pylist()):
-            mine = slice(*np.searchsorted(at, [i, i + 1]))
-            again = back[mine] > 1
-            if again.any():
-                rows.append((chunk, *pack(np.diff(h[mine][again], prepend=U(0)), (back[mine][again] >= frequent))))
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("chunk", "keys", "often"), zip(*rows) if rows else ([], [], []), (pa.int64(), pa.binary(), pa.binary()))})
+        back[order] = np.repeat(total, np.diff(np.append(at, len(h))))
+        again = np.flatnonzero(back > 1)
+        return found.table(B.mix64(chunk[again].view(U)), chunk[again], h[again], back[again] >= frequent)
 
-    def store(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        h = np.concatenate([np.cumsum(_plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")])
-        often = np.concatenate([_plain(x.as_py(), "|b1") for x in table.column("often")])
-        order = np.argsort(h)
-        put(folder, f"repeats-{chunk}", {"keys": h[order], "often": often[order]})
-        return pa.table({"chunk": [chunk]})
-
-    counted = packs.mapInArrow(count, "shard long, chunk long, keys binary, counts binary")
-    again = counted.groupBy("shard").applyInArrow(repeats, "chunk long, keys binary, often binary")
-    return {r[0] for r in again.groupBy("chunk").applyInArrow(store, "chunk long").collect()}
+    again = counts.grouped(packs.mapInArrow(count, counts.schema)).applyInArrow(repeats, found.schema)
+    to_chunks(again, found, folder, "repeats", lambda c: np.argsort(c[0]))

@@ -17,8 +17,6 @@ with the input.
 from __future__ import annotations
 
 import hashlib
-import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +26,17 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .induced_sort import common_with_previous, suffix_array
-from .lm_trie import _plain, mapped_file, put
-from .repeats import chunks, cuts, pack, repeated_keys
-from .space import shared_dir, written
+from .exchange import Records
+from .files import mapped_file, put, there
+from .repeats import chunks, heads, repeated_keys, to_chunks
+from .space import work_folder, written
 
 U = B.U
 CHUNK = 8 << 20
 #: Window starts that are looked at together; occurrences from which an anchor sends single windows.
 STARTS, FREQUENT = 1 << 19, 20000
+#: Shards of contexts, in bits, of up to a GB.
+SHARD_BITS = 9
 LAST = np.iinfo(np.int64).max
 
 
@@ -109,42 +110,36 @@ def _room(offsets: np.ndarray, lo: int, hi: int) -> np.ndarray:
     return np.repeat(offsets[1:], np.diff(np.clip(offsets, lo, hi)))
 
 
-def work_folder(spark) -> str:
-    folder = f"{shared_dir(spark)}/trailmark/suffix-{uuid.uuid4().hex}"
-    return folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
-
-
 def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 50, k: int = 20, chunk_bytes: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) for each row of docs.
 
     Null and empty texts have no bytes. Rows that share an id count as one document: none is earlier than another. A
     row without an id comes after all others. Texts that are shorter than `length` stay whole.
     """
-    spark = docs.sparkSession
-    folder = work_folder(spark)
+    folder = work_folder(docs.sparkSession, "suffix")
     packs = written(packed(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), chunk_bytes), "suffix-chunks")
     n_chunks = packs.count()
-    bits = max(3, n_chunks.bit_length())
-    # suffix sorting takes some dozens of bytes for each byte of context
-    anchor_bits, bits = bits, bits + 2
-    shards = 1 << bits
 
     def anchor_keys(ids, offsets, data):
         h, first, _ = anchors(data, offsets, length, k)
         return h, ids[np.searchsorted(offsets, first, "right") - 1]
 
-    known = repeated_keys(packs, anchor_keys, anchor_bits, folder, frequent)
+    repeated_keys(packs, anchor_keys, n_chunks * (chunk_bytes // 16), folder, frequent)
+    # suffix sorting takes some dozens of bytes for each byte of context
+    bits = max(SHARD_BITS, (n_chunks * 4 * chunk_bytes // CHUNK).bit_length())
+    contexts = Records(bits, SHARD_BITS, chunk="<i8", number="<u4", key="<u8", owner="<i8", size="|u1" if length <= 128 else "<u4", raw="*|u1")
+    spans = Records(bits, chunk="<i8", number="<u4", size="<u2", sizes="*<u2", ids="*<i8")
 
     # contexts of those anchors
     def send_contexts(batches):
         for chunk, ids, _, offsets, data in chunks(batches):
-            if chunk not in known:
+            if not there(folder, f"repeats-{chunk}"):
                 continue
             stored = mapped_file(folder, f"repeats-{chunk}")
             h, first, n = anchors(data, offsets, length, k)
             hit = B.among(h, stored["keys"])
             h, first, n = h[hit], first[hit], n[hit]
-            often = stored["often"][np.searchsorted(stored["keys"], h)]
+            often = stored["often"][np.searchsorted(stored["keys"], h)] > 0
             single = B.owners(np.concatenate([[0], np.cumsum(n[often])]))
             inner = np.arange(len(single)) - (np.cumsum(n[often]) - n[often])[single]
             starts = np.concatenate([first[~often], first[often][single] + inner])
@@ -153,47 +148,34 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             whole = np.empty(len(starts), U)
             whole[order] = _hash_any(data, starts[order], starts[order] + sizes[order])
             route = np.concatenate([h[~often], B.mix64(whole[len(h) - int(often.sum()) :])])
-            shard = (route >> U(64 - bits)).astype(np.int64)
             owner = ids[np.searchsorted(offsets, starts, "right") - 1]
-            order = np.lexsort((owner, sizes, whole, shard))
-            new = np.append(True, (whole[order][1:] != whole[order][:-1]) | (shard[order][1:] != shard[order][:-1]) | (sizes[order][1:] != sizes[order][:-1]))[: len(order)]
+            order = np.lexsort((owner, sizes, whole))
+            first = heads(whole[order], sizes[order])
             number = np.empty(len(order), np.int32)
-            number[order] = np.cumsum(new) - 1
+            number[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
             put(folder, f"places-{chunk}", {"start": starts.astype(np.int32), "context": number})
-            pick = order[new]
-            cut = cuts(shard[pick], shards)
-            rows = []
-            for s, (a, b) in enumerate(zip(cut, cut[1:])):
-                if a < b:
-                    p = pick[a:b]
-                    raw = data[_inside(starts[p], sizes[p])]
-                    rows.append((s, chunk, *pack(whole[p], sizes[p].astype(np.uint8 if length <= 128 else np.uint32), owner[p]), pa.compress(raw.tobytes(), "zstd", asbytes=True), len(raw)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["shard", "chunk", "keys", "sizes", "ids", "bytes", "n_bytes"])
-
-    size_kind = "|u1" if length <= 128 else "<u4"
+            pick = order[first]
+            raw = data[B.inside(starts[pick], sizes[pick])]
+            yield from contexts.rows(route[pick], np.full(len(pick), chunk), np.arange(len(pick)), whole[pick], owner[pick], sizes[pick], raw)
 
     def answer(table: pa.Table) -> pa.Table:
-        parts = table.to_pylist()
-        keys = np.concatenate([_plain(p["keys"], "<u8") for p in parts])
-        sizes = np.concatenate([_plain(p["sizes"], size_kind) for p in parts]).astype(np.int64)
-        ids = np.concatenate([_plain(p["ids"], "<i8") for p in parts])
-        raw = np.concatenate([np.frombuffer(pa.decompress(p["bytes"], p["n_bytes"], "zstd"), np.uint8) for p in parts])
+        _, chunk, context_of, keys, ids, sizes, raw = contexts.read(table)
+        sizes = sizes.astype(np.int64)
         begin = np.cumsum(sizes) - sizes
         order = np.lexsort((ids, sizes, keys))
-        new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (sizes[order][1:] != sizes[order][:-1]))
+        new = heads(keys[order], sizes[order])
         number = np.empty(len(keys), np.int64)
-        number[order] = np.cumsum(new) - 1
+        number[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(keys))))
         pick = order[new]  # each distinct context, with its smallest id
         size, own = sizes[pick], ids[pick]
         # UTF-8 has no bytes over 0xF7, so 1 between contexts and 0 at the end are free after adding 2
         at = np.cumsum(size + 1) - size - 1
         joined = np.ones(int((size + 1).sum()) + 1, np.uint8)
         joined[-1] = 0
-        joined[_inside(at, size)] = raw[_inside(begin[pick], size)] + 2
+        joined[B.inside(at, size)] = raw[B.inside(begin[pick], size)] + 2
         n_windows = size - length + 1
         starts = np.zeros(len(joined), bool)
-        starts[_inside(at, n_windows)] = True
+        starts[B.inside(at, n_windows)] = True
         window, same = common_with_previous(joined, suffix_array(joined, length), starts, length)
         context = np.searchsorted(at, window, "right") - 1
         head = np.flatnonzero(~same)
@@ -201,44 +183,32 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         of_start = np.empty(len(joined), np.int64)
         of_start[window] = np.repeat(least, np.diff(np.append(head, len(window))))
         # windows of a context in runs of one smallest id
-        flat = _inside(at, n_windows)
+        flat = B.inside(at, n_windows)
         value, owner = of_start[flat], np.repeat(np.arange(len(size)), n_windows)
         run = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])))
         run_owner = owner[run]
         run_of = np.searchsorted(run_owner, np.arange(len(size) + 1))
         run_size = np.diff(np.append(run, len(value)))
-        rows, first = [], 0
-        for p in parts:
-            mine = number[first : first + len(p["keys"]) // 8]
-            first += len(mine)
-            n = run_of[mine + 1] - run_of[mine]
-            r = _inside(run_of[mine], n)
-            rows.append((p["shard"], p["chunk"], *pack(n.astype(np.uint16), run_size[r].astype(np.uint16), value[run][r])))
+        n = run_of[number + 1] - run_of[number]
+        r = B.inside(run_of[number], n)
         B.trim()
-        return pa.table({c: pa.array(x, t) for c, x, t in zip(("shard", "chunk", "runs", "sizes", "ids"), zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 3))})
-
-    def store_answers(table: pa.Table) -> pa.Table:
-        parts = sorted(table.to_pylist(), key=lambda p: p["shard"])
-        both = {c: np.concatenate([_plain(p[c], kind) for p in parts]) for c, kind in (("runs", "<u2"), ("sizes", "<u2"), ("ids", "<i8"))}
-        put(folder, f"answers-{parts[0]['chunk']}", both)
-        return pa.table({"chunk": [parts[0]["chunk"]]})
+        return spans.table(B.mix64(chunk.view(U)), chunk, context_of, n, run_size[r], value[run][r])
 
-    sent = packs.mapInArrow(send_contexts, "shard long, chunk long, keys binary, sizes binary, ids binary, bytes binary, n_bytes long")
-    answers = sent.groupBy("shard").applyInArrow(answer, "shard long, chunk long, runs binary, sizes binary, ids binary")
-    answered = {r[0] for r in answers.groupBy("chunk").applyInArrow(store_answers, "chunk long").collect()}
+    sent = packs.mapInArrow(send_contexts, contexts.schema)
+    to_chunks(contexts.grouped(sent).applyInArrow(answer, spans.schema), spans, folder, "answers", lambda c: np.argsort(c[0]))
 
     def remove(batches):
         for chunk, ids, has_id, offsets, data in chunks(batches):
             gone = np.zeros(len(data), bool)
-            if chunk in answered:
+            if there(folder, f"answers-{chunk}"):
                 places, stored = mapped_file(folder, f"places-{chunk}"), mapped_file(folder, f"answers-{chunk}")
-                run_of = np.concatenate([[0], np.cumsum(stored["runs"], dtype=np.int64)])
+                run_of = np.concatenate([[0], np.cumsum(stored["size"], dtype=np.int64)])
                 before = np.concatenate([[0], np.cumsum(stored["sizes"], dtype=np.int64)])
                 start, context = places["start"].astype(np.int64), places["context"].astype(np.int64)
                 owner = ids[np.searchsorted(offsets, start, "right") - 1]
                 n = run_of[context + 1] - run_of[context]
                 occurrence = np.repeat(np.arange(len(start)), n)
-                run = _inside(run_of[context], n)
+                run = B.inside(run_of[context], n)
                 first = start[occurrence] + before[run] - before[run_of[context]][occurrence]
                 earlier = stored["ids"][run] < owner[occurrence]
                 first, size = first[earlier], stored["sizes"][run][earlier].astype(np.int64)
@@ -263,12 +233,6 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return packs.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def _inside(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """All places of [start, start + size), one span after the other."""
-    size = size.astype(np.int64)
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 def _hash_any(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """span_hash for spans whose starts rise but whose ends may not."""
     reach = np.maximum.accumulate(end) if len(end) else end
