@@ -163,22 +163,47 @@ def test_rules(docs, empty, labels):
 
 
 def test_language_model(docs, empty):
-    model = Counter()
+    one, two, three = Counter(), Counter(), Counter()
     size = {}
     for i, t, *_ in rows():
         ws = [*WORD.findall(lower(t or "")), None]
         size[i] = ws
         if i is None or zlib.crc32(str(i).encode()) % 10:
-            model.update(ws)
-    n, v = sum(model.values()), len(model)
-    for r in lm_trie.scored(docs).collect():
-        ws = size[r.doc_id]
-        base = sum(np.log10((model[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(model[w] > 0 for w in ws), n)
-        assert r.base_score == pytest.approx(base) and r.score <= 0
+            one.update(ws)
+            two.update(zip([None, *ws], ws))
+            three.update(zip([None, *ws], ws, ws[1:]))
+    n, v = sum(one.values()), len(one)
+    after_one, after_two = Counter(a for a, _ in two), Counter((a, b) for a, b, _ in three)
+    d = 0.75
+
+    def p1(w):
+        return (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p2(a, w):
+        return (max(two[a, w] - d, 0) + d * after_one[a] * p1(w)) / one[a] if one[a] else p1(w)
+
+    def p3(a, b, w):
+        return (max(three[a, b, w] - d, 0) + d * after_two[a, b] * p2(b, w)) / two[a, b] if after_two[a, b] else p2(b, w)
+
+    for how in ({}, {"shard_tokens": 200}):
+        for r in lm_trie.scored(docs, **how).collect():
+            ws = size[r.doc_id]
+            base = sum(np.log10(p1(w)) for w in ws)
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(one[w] > 0 for w in ws), n)
+            assert r.base_score == pytest.approx(base)
+            # each code is right to 0.025
+            whole = np.log10(p2(None, ws[0])) + sum(np.log10(p3(a, b, w)) for a, b, w in zip([None, *ws], ws, ws[1:]))
+            assert abs(r.score - whole) <= 0.05 * len(ws)
+            assert len(ws) < 30 or abs(r.score - whole) < 0.02 * len(ws)
     assert lm_trie.scored(empty).collect() == []
 
 
+def test_no_more_words_than_their_ids_can_tell_apart(docs, monkeypatch):
+    monkeypatch.setattr(lm_trie, "NONE", np.uint32(100))
+    with pytest.raises(OverflowError):
+        lm_trie.scored(docs)
+
+
 def test_suffix_dedup(docs, empty):
     first, want = {}, {}
     order = lambda i: (i is None, i or 0)

@@ -44,13 +44,11 @@ def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A sequence that never falls: low bits stored plainly (at most 56), high bits as gaps in unary."""
+    """A sequence that never falls: low bits stored plainly (at most 56), high bits as gaps in unary, and how many ones
+    and zeros come before each word of the high bits."""
 
-    def __init__(self, n: int, low: Bits, high: np.ndarray):
-        self.n, self.low, self.high = n, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+    def __init__(self, n: int, low: Bits, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.low, self.high, self.ones, self.zeros = n, low, high, ones, zeros
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -62,12 +60,13 @@ class EliasFano:
         place = (values >> U(width)) + np.arange(n, dtype=U)
         np.bitwise_or.at(high, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
         low = Bits.pack(values & U((1 << width) - 1), width)
-        return {"head": np.array([n, width], np.int64), "low": low, "high": high}
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
+        return {"head": np.array([n, width], np.int64), "low": low, "high": high, "ones": ones, "zeros": np.arange(len(ones)) * 64 - ones}
 
     @classmethod
     def load(cls, parts: dict[str, np.ndarray]) -> EliasFano:
         n, width = map(int, parts["head"])
-        return cls(n, Bits(width, parts["low"]), parts["high"])
+        return cls(n, Bits(width, parts["low"]), parts["high"], parts["ones"], parts["zeros"])
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""

@@ -38,7 +38,8 @@ def bits_for(records: int) -> int:
 
 class Records:
     """Records of a route and the columns that `kinds` names, by numpy type. A type that begins with * is that of a
-    column with several values a record: as many as the column `size` says."""
+    column with several values a record: as many as the column `size` says. One that begins with + is that of a column
+    that mostly rises, and is packed as differences."""
 
     def __init__(self, bits: int, fan: int = FAN, **kinds: str):
         self.bits, self.fan, self.kinds = bits, fan, kinds
@@ -66,8 +67,10 @@ class Records:
         packed = [pa.array([planes(np.diff(route[a:b], prepend=U(0))) for a, b in zip(cut, cut[1:])], pa.binary())]
         sizes = dict(zip(self.kinds, columns)).get("size")
         for c, k in zip(columns, self.kinds.values(), strict=True):
-            c = np.ascontiguousarray(c, k.lstrip("*"))
-            if k[0] == "*":
+            c = np.ascontiguousarray(c, k.lstrip("*+"))
+            if k[0] == "+":
+                packed.append(pa.array([planes(np.diff(c[a:b], prepend=c.dtype.type(0))) for a, b in zip(cut, cut[1:])], pa.binary()))
+            elif k[0] == "*":
                 at = np.append(0, np.cumsum(sizes, dtype=np.int64))[cut]
                 packed.append(pa.array([pa.compress(planes(c[a:b]), "zstd", asbytes=True) for a, b in zip(at, at[1:])], pa.binary()))
             else:
@@ -87,11 +90,13 @@ class Records:
                 k = k[1:]
                 raw = [pa.decompress(x.as_py(), n * np.dtype(k).itemsize, "zstd", asbytes=True) if n else b"" for x, n in zip(table.column(c), sizes)]
                 out.append([plain(x, k) for x in raw])
+            elif k[0] == "+":
+                out.append([np.cumsum(plain(x.as_py(), k[1:]), dtype=k[1:]) for x in table.column(c)])
             else:
                 out.append([plain(x.as_py(), k) for x in table.column(c)])
             if c == "size":
                 sizes = [int(x.sum()) for x in out[-1]]
-        return [np.concatenate(x) if x else np.zeros(0, k.lstrip("*")) for x, k in zip(out, ["<u8", *self.kinds.values()])]
+        return [np.concatenate(x) if x else np.zeros(0, k.lstrip("*+")) for x, k in zip(out, ["<u8", *self.kinds.values()])]
 
     def _cut_again(self, bits: int):
         def run(batches):

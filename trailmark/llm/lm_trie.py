@@ -1,11 +1,14 @@
 """Language-model scores from an n-gram trie in Elias-Fano form.
 
 Level 1 holds the hashes of all training words as monotone sequences (cut into shards by hash), with counts and
-quantised probabilities; a word's id is its rank. Level 2 holds, for every context, monotone pointers to its range
-of successors, and the successors' ids relative to the end of the range before, so that the whole level is one
-monotone sequence: (context, word) is found by one successor search. Probabilities are those of absolute discounting,
-interpolated with the word's own; a pair is stored if it occurs twice or more, the mass of the others is with the
-context. Contexts that hold very many tokens are cut between shards by the successor's id.
+quantised probabilities; a word's id is its rank. Level 2 holds, for every word, monotone pointers to its range of
+successors, and the successors' ids relative to the end of the range before, so that the whole level is one monotone
+sequence: (context, word) is found by one successor search. Level 3 holds the same for every pair of level 2: its
+pointers are of the pairs' places, so that the search for a pair also gives the place where its triples are.
+
+Probabilities are those of absolute discounting, interpolated from level to level. A level stores the discounted part
+of each n-gram and, for each context, the weight of the level below. Every n-gram of the training rows is stored.
+Contexts that hold very many tokens are cut between shards by the successor's id.
 
 Counting is distributed: tasks send sorted, counted keys; the shard's task merges them and writes its level to the
 shared folder. Scoring tasks map these files; they share the page cache and need no memory of their own for it.
@@ -13,6 +16,8 @@ shared folder. Scoring tasks map these files; they share the page cache and need
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,17 +25,21 @@ from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .elias_fano import EliasFano
-from .exchange import plain, planes
-from .files import mapped_file, put
+from .exchange import Records
+from .files import mapped_file, put, there
+from .repeats import heads
 from .space import work_folder
 
 U = B.U
 END = U(0x5DEECE66D1CE4E5B)
 NONE = np.uint32(0xFFFFFFFF)
-DISCOUNT, LEAST, STEP = 0.75, 2, 0.05
-#: Keys that a counting task holds before it sends them; tokens that a shard of level 2 stands for; bytes of text at once.
+DISCOUNT, STEP = 0.75, 0.05
+#: Probability of each code.
+VALUE = 10.0 ** (-STEP * np.arange(256))
+#: Tokens that a task counts together; tokens that a shard of pairs stands for; bytes of text at once.
 HELD, SHARD_TOKENS, PIECE = 1 << 22, 1 << 22, 1 << 22
-COUNTED = "shard long, keys binary, counts binary"
+#: Bytes of text whose words are a shard of level 1.
+SHARD_TEXT = 64 << 20
 
 
 def _under(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -46,47 +55,33 @@ def _of(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and their summed counts."""
-    if not len(keys):
-        return keys, counts
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts, first)
+    keys = keys[order]
+    first = heads(keys)
+    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def sent(batches, keys_of, shard_of):
-    """Rows of COUNTED: keys_of(piece) counted in bounded memory and cut by shard_of(sorted keys)."""
+def merged_triples(pair: np.ndarray, third: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, third), sorted, and their summed counts. Under 2^32 of them."""
+    known, rank = np.unique(pair, return_inverse=True)
+    keys, n = merged(rank.astype(U) << U(32) | third.astype(U), counts)
+    return known[(keys >> U(32)).astype(np.int64)], (keys & U(0xFFFFFFFF)).astype(np.uint32), n
 
-    def rows(keys, counts):
-        shard = shard_of(keys)
-        cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(shard))
-        gaps = [np.diff(keys[a:b], prepend=U(0)) for a, b in zip(cut, ends)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(shard[cut], pa.int64()), pa.array([planes(g) for g in gaps], pa.binary()), pa.array([planes(counts[a:b]) for a, b in zip(cut, ends)], pa.binary())],
-            ["shard", "keys", "counts"],
-        )
 
-    held, size = [], 0
+def gathered(batches, take) -> Iterator[list[np.ndarray]]:
+    """The arrays that take(bytes, offsets) makes of pieces of text, put together to HELD tokens or more."""
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
         for _, data, offsets in B.pieces(batch, PIECE):
-            got = np.unique(keys_of(data, offsets), return_counts=True)
-            held.append((got[0], got[1].astype(np.int64)))
-            size += len(got[0])
-            if size > HELD:
-                held = [merged(*(np.concatenate(x) for x in zip(*held)))]
-                size = len(held[0][0])
-                if size > HELD // 2:
-                    yield from rows(*held[0])
-                    held, size = [], 0
+            held.append(take(data, offsets))
+            size += len(held[-1][0])
+            if size >= HELD:
+                yield [np.concatenate(x) for x in zip(*held)]
+                held, size = [], 0
+                B.trim()
     if held:
-        yield from rows(*merged(*(np.concatenate(x) for x in zip(*held))))
-
-
-def received(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    keys = [np.cumsum(plain(x.as_py(), "<u8"), dtype=U) for x in table.column("keys")]
-    counts = [plain(x.as_py(), "<i8") for x in table.column("counts")]
-    return merged(np.concatenate(keys), np.concatenate(counts))
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
 # --- tokens
@@ -107,34 +102,55 @@ def code(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-np.log10(np.maximum(p, 1e-300)) / STEP), 0, 255).astype(np.uint8)
 
 
+def token_pairs(hashes: np.ndarray, of: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the place of its word among the distinct words, these words' ids, and (word before << 32 | word);
+    before a text's first word stands the end."""
+    known, back = np.unique(hashes, return_inverse=True)
+    ids = model.ids(known)
+    now = ids[back].astype(U)
+    before = np.empty_like(now)
+    before[1:] = now[:-1]
+    before[of[:-1]] = ids[np.searchsorted(known, END)]
+    return back, ids, before << U(32) | now
+
+
 # --- the model
 
 
 class Model:
     """The trie's files, mapped when first needed."""
 
-    def __init__(self, folder: str, bits: int, offsets: list[int], total: int, shards: list[tuple[int, int]] | None = None, split_mass: dict | None = None):
+    def __init__(self, folder: str, bits: int, offsets: list[int], total: int, split: dict[int, float] | None = None):
         self.folder, self.bits, self.offsets, self.total = folder, bits, np.array(offsets, np.int64), total
         self.words = int(self.offsets[-1])
-        #: Least (context << 32 | word) of each shard of level 2.
-        self.starts = np.array([c << 32 | w for c, w in shards or []], U)
-        self.split_mass = split_mass or {}
+        #: Contexts that are cut between shards, and their weights of the level below.
+        self.split = split or {}
         self.open_: dict = {}
 
     def __getstate__(self):
         return self.__dict__ | {"open_": {}}
 
+    @property
+    def starts(self) -> np.ndarray:
+        """Least (context << 32 | word) of each shard of pairs."""
+        if "starts" not in self.open_:
+            self.open_["starts"] = mapped_file(self.folder, "shards")["starts"]
+        return self.open_["starts"]
+
     def level1(self, r: int):
         if ("v", r) not in self.open_:
             a = mapped_file(self.folder, f"words-{r}")
             self.open_["v", r] = (EliasFano.load(_of("hash", a)), a)
         return self.open_["v", r]
 
-    def level2(self, s: int):
-        if ("b", s) not in self.open_:
-            a = mapped_file(self.folder, f"pairs-{s}")
-            self.open_["b", s] = (EliasFano.load(_of("pointer", a)), EliasFano.load(_of("word", a)), a)
-        return self.open_["b", s]
+    def grams(self, s: int):
+        """None for a shard without pairs, which is only a part of a cut context."""
+        if ("g", s) not in self.open_:
+            if not there(self.folder, f"grams-{s}"):
+                return None
+            a = mapped_file(self.folder, f"grams-{s}")
+            self.open_["g", s] = (*(EliasFano.load(_of(x, a)) for x in ("pointer", "word", "pointer3", "word3")), a)
+        return self.open_["g", s]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of sorted, distinct hashes; NONE for unknown words."""
@@ -172,34 +188,72 @@ class Model:
     def p(self, count):
         return (np.asarray(count, float) + 0.1) / (self.total + 0.1 * (self.words + 1))
 
-    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted, distinct (context << 32 | word): the stored code or -1, and the code of the context's rest."""
-        found, rest = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
-        cut = np.append(np.searchsorted(keys, self.starts), len(keys))
-        for s in range(len(self.starts)):
-            if cut[s] == cut[s + 1]:
-                continue
-            pointer, word, a = self.level2(s)
+    def pairs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For sorted, distinct (context << 32 | word): probability of the stored pair (0: not stored), weight of the
+        level below, and the pair's place in its shard or -1."""
+        p, rest, place = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64)
+        for s, lo, hi in self.by_shard(keys):
+            pointer, word, _, _, a = self.grams(s)
             first, n = map(int, a["contexts"])
-            x = keys[cut[s] : cut[s + 1]]
+            x = keys[lo:hi]
             context = (x >> U(32)).astype(np.int64) - first
             at = np.flatnonzero(context < n)
-            c = context[at]
-            lo, hi = pointer.get(c).astype(np.int64), pointer.get(c + 1).astype(np.int64)
-            rest[cut[s] + at] = a["rest"][c]
-            some = np.flatnonzero(lo < hi)
-            at, lo, hi = at[some], lo[some], hi[some]
-            base = np.zeros(len(at), U)
-            base[lo > 0] = word.get(lo[lo > 0] - 1) + U(1)
-            target = base + (x[at] & U(0xFFFFFFFF))
-            place = word.successor(target)
-            hit = np.flatnonzero(place < hi)
-            hit = hit[word.get(place[hit]) == target[hit]]
-            found[cut[s] + at[hit]] = a["code"][place[hit]]
-        for context, left in self.split_mass.items():
+            rest[lo + at] = VALUE[a["rest"][context[at]]]
+            found, where = _successors(pointer, word, context[at], x[at] & U(0xFFFFFFFF))
+            p[lo + at[found]] = VALUE[a["code"][where]]
+            place[lo + at[found]] = where
+        for context, left in self.split.items():
             a, b = np.searchsorted(keys, [U(context << 32), U((context + 1) << 32)])
-            rest[a:b] = code(np.array([left]))[0]
-        return found, rest
+            rest[a:b] = left
+        return p, rest, place
+
+    def by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Shards with pairs that sorted keys fall into, with their ranges of the keys."""
+        shard = np.searchsorted(self.starts, keys, "right") - 1
+        first = heads(shard)
+        for lo, hi in zip(first, np.append(first[1:], len(keys))):
+            if shard[lo] >= 0 and self.grams(int(shard[lo])):
+                yield int(shard[lo]), int(lo), int(hi)
+
+    def triples(self, pairs: np.ndarray, place: np.ndarray, context: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pairs, place: sorted pairs and what pairs() says of them. For each (context: which of the pairs, third), by
+        context: probability of the stored triple (0: not stored), and weight of the level below."""
+        p, rest = np.zeros(len(context)), np.ones(len(context))
+        for s, lo, hi in self.by_shard(pairs):
+            a, b = np.searchsorted(context, [lo, hi])
+            if a == b:
+                continue
+            _, _, pointer, word, arrays = self.grams(s)
+            at = a + np.flatnonzero(place[context[a:b]] >= 0)
+            j = place[context[at]]
+            rest[at] = VALUE[arrays["rest3"][j]]
+            found, where = _successors(pointer, word, j, third[at].astype(U))
+            p[at[found]] = VALUE[arrays["code3"][where]]
+        return p, rest
+
+
+def _successors(pointer: EliasFano, word: EliasFano, context: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted words are among their context's successors, and the places of these."""
+    lo, hi = pointer.get(context).astype(np.int64), pointer.get(context + 1).astype(np.int64)
+    some = np.flatnonzero(lo < hi)
+    lo, hi = lo[some], hi[some]
+    base = np.zeros(len(some), U)
+    base[lo > 0] = word.get(lo[lo > 0] - 1) + U(1)
+    target = base + wanted[some]
+    place = word.successor(target)
+    hit = np.flatnonzero(place < hi)
+    hit = hit[word.get(place[hit]) == target[hit]]
+    return some[hit], place[hit]
+
+
+def _level(prefix: str, first: np.ndarray, word: np.ndarray) -> dict[str, np.ndarray]:
+    """Pointers and relative successors; context i has word[first[i]:first[i + 1]], which rise."""
+    some = np.flatnonzero(np.diff(first))
+    size = np.diff(first)[some]
+    ends = first[1:][some] - 1
+    base = np.concatenate([[0], np.cumsum(word[ends].astype(np.int64) + 1)])[:-1]
+    value = word.astype(np.int64) + np.repeat(base, size)
+    return _under(f"pointer{prefix}", EliasFano.build(first.astype(U), len(word) + 1)) | _under(f"word{prefix}", EliasFano.build(value.astype(U), int(value[-1]) + 1 if len(value) else 1))
 
 
 def _within(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -213,104 +267,97 @@ def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
     folder = work_folder(spark, "lm")
     texts = docs.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(1, (size // (16 << 20)).bit_length())
+    bits = max(1, (size // SHARD_TEXT).bit_length())
+    counted = Records(bits, n="<u4")
 
     def words(batches):
-        yield from sent(batches, lambda *x: tokens(*x)[0], lambda k: (k >> U(64 - bits)).astype(np.int64))
+        for (hashes,) in gathered(batches, lambda *x: tokens(*x)[:1]):
+            yield from counted.rows(*(x for x in np.unique(hashes, return_counts=True)))
 
     def level1(table: pa.Table) -> pa.Table:
         r = table.column("shard")[0].as_py()
-        keys, counts = received(table)
+        keys, counts = merged(*counted.read(table))
         big = counts >= 255
         hashes = _under("hash", EliasFano.build(_within(keys, bits), 1 << (64 - bits)))
-        put(
-            folder,
-            f"counts-{r}",
-            {"count": np.minimum(counts, 255).astype(np.uint8), "many_at": np.flatnonzero(big), "many": counts[big]} | hashes,
-        )
-        top = np.argsort(-counts, kind="stable")[:64]
-        return pa.table({"shard": [r], "words": [len(keys)], "mass": [int(counts.sum())], "hot": [top.tolist()], "hot_mass": [counts[top].tolist()]})
-
-    counted = texts.mapInArrow(words, COUNTED)
-    summary = counted.groupBy("shard").applyInArrow(level1, "shard long, words long, mass long, hot array<long>, hot_mass array<long>").collect()
+        put(folder, f"counts-{r}", {"count": np.minimum(counts, 255).astype(np.uint8), "many_at": np.flatnonzero(big), "many": counts[big]} | hashes)
+        hot = np.flatnonzero(counts > shard_tokens)
+        return pa.table({"shard": [r], "words": [len(keys)], "mass": [int(counts.sum())], "hot": pa.array([hot.tolist()], pa.list_(pa.int64())), "hot_mass": pa.array([counts[hot].tolist()], pa.list_(pa.int64()))})
+
+    sent = counted.grouped(texts.mapInArrow(words, counted.schema))
+    summary = sent.applyInArrow(level1, "shard long, words long, mass long, hot array<long>, hot_mass array<long>").collect()
     by = {row["shard"]: row for row in summary}
     sizes = [by[r]["words"] if r in by else 0 for r in range(1 << bits)]
     model = Model(folder, bits, [0, *np.cumsum(sizes).tolist()], sum(row["mass"] for row in summary))
+    if model.words >= int(NONE):
+        raise OverflowError("word ids have 32 bits, and there are more distinct words")
     _finish_level1(spark, model, sorted(by))
 
-    # shards of level 2: even parts of a word shard's ids, and of a hot context's successors
-    starts, split = [], set()
+    # shards of pairs: even parts of a word shard's ids, and of a hot context's successors
+    starts, split = [], []
     for r in sorted(by):
         first, n = int(model.offsets[r]), by[r]["words"]
-        hot = sorted((first + i, m) for i, m in zip(by[r]["hot"], by[r]["hot_mass"]) if m > shard_tokens)
+        hot = sorted((first + i, m) for i, m in zip(by[r]["hot"], by[r]["hot_mass"]))
         rest = by[r]["mass"] - sum(m for _, m in hot)
         parts = max(1, -(-rest // shard_tokens))
         cuts = {(first + n * i // parts, 0) for i in range(parts)}
         for c, m in hot:
             k = min(-(-m // shard_tokens), model.words)
             cuts |= {(c, model.words * i // k) for i in range(k)} | ({(c + 1, 0)} if c + 1 < first + n else set())
-            split.add(c)
+            split.append(c)
         starts += sorted(cuts)
-    model = Model(folder, bits, model.offsets.tolist(), model.total, starts)
+    put(folder, "shards", {"starts": np.array([c << 32 | w for c, w in starts], U), "last": np.array([*(c for c, _ in starts[1:]), model.words], np.int64)})
+    bits2 = max(1, len(starts).bit_length())
+    triples = Records(bits2, pair="+<u8", third="<u4", n="<u4")
 
-    def pairs_of(data, offsets):
+    def taken(data, offsets):
         hashes, of = tokens(data, offsets)
-        known, back = np.unique(hashes, return_inverse=True)
-        ids = model.ids(known)
-        now = ids[back].astype(U)
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        if len(of) > 1:
-            before[of[:-1]] = ids[np.searchsorted(known, END)]
-        return before << U(32) | now
-
-    def pairs(batches):
-        yield from sent(batches, pairs_of, lambda k: np.searchsorted(model.starts, k, "right") - 1)
-
-    last = [*(c for c, _ in starts[1:]), model.words]
-
-    def level2(table: pa.Table) -> pa.Table:
+        pair = token_pairs(hashes, of, model)[2]
+        third = np.append((pair[1:] & U(0xFFFFFFFF)).astype(np.uint32), NONE)
+        third[of[1:] - 1] = NONE  # nothing comes after a text's end
+        return pair, third
+
+    def send(batches):
+        for pair, third in gathered(batches, taken):
+            pair, third, n = merged_triples(pair, third, np.ones(len(pair), np.int64))
+            shard = np.searchsorted(model.starts, pair, "right") - 1
+            yield from triples.rows(shard.astype(U) << U(64 - bits2), pair, third, n)
+
+    def levels(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
-        keys, counts = received(table)
-        first = starts[s][0]
-        n = max(last[s] - first, 1)
-        context, word = (keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64)
-        kept = counts >= LEAST
-        context, word, counts = context[kept], word[kept], counts[kept]
-        at, back = np.unique(context, return_inverse=True)
-        seen = model.counts(at.astype(np.uint32))[0]
-        main = (counts - DISCOUNT) / seen[back]
-        mass = np.zeros(n)
-        np.add.at(mass, context - first, main)
-        left = np.maximum(1 - mass, 1e-6)
-        in_order = np.argsort(word, kind="stable")
-        own = np.empty(len(word))
-        own[in_order] = model.p(model.counts(word[in_order].astype(np.uint32))[0])
-        split_here = np.isin(context, list(split))
-        # of a split context the whole rest is not known here; what all shards store of it makes up for that later
-        p = main + np.where(split_here, 0, left[context - first]) * own
-        pointer = np.searchsorted(context, first + np.arange(n + 1))
-        ends = pointer[1:][np.diff(pointer) > 0] - 1
-        base = np.concatenate([[0], np.cumsum(word[ends] + 1)])[:-1]
-        value = word + np.repeat(base, np.diff(pointer)[np.diff(pointer) > 0])
-        arrays = {"contexts": np.array([first, n]), "rest": code(left), "code": code(p)}
-        arrays |= _under("pointer", EliasFano.build(pointer.astype(U), len(word) + 1))
-        arrays |= _under("word", EliasFano.build(value.astype(U), int(value[-1]) + 1 if len(value) else 1))
-        put(folder, f"pairs-{s}", arrays)
-        parts = [(c, float(mass[c - first])) for c in split if first <= c < first + n]
-        return pa.table({"shard": [s], "contexts": [[c for c, _ in parts]], "mass": [[m for _, m in parts]]}, pa.schema([("shard", pa.int64()), ("contexts", pa.list_(pa.int64())), ("mass", pa.list_(pa.float64()))]))
-
-    done = texts.mapInArrow(pairs, COUNTED).groupBy("shard").applyInArrow(level2, "shard long, contexts array<long>, mass array<double>").collect()
-    mass: dict[int, float] = {}
-    for row in done:
-        for c, m in zip(row["contexts"], row["mass"]):
-            mass[c] = mass.get(c, 0.0) + m
-    there = {row["shard"] for row in done}
-    for s in set(range(len(starts))) - there:
-        n = max(last[s] - starts[s][0], 1)
-        empty = _under("pointer", EliasFano.build(np.zeros(n + 1, U), 1)) | _under("word", EliasFano.build(np.zeros(0, U), 1))
-        put(folder, f"pairs-{s}", {"contexts": np.array([starts[s][0], n]), "rest": np.zeros(n, np.uint8), "code": np.zeros(0, np.uint8)} | empty)
-    return Model(folder, bits, model.offsets.tolist(), model.total, starts, {c: max(1 - m, 1e-6) for c, m in mass.items()})
+        _, pair, third, n = triples.read(table)
+        B.trim()
+        return pa.table({c: pa.array(x, pa.list_(pa.int64())) for c, x in zip(("contexts", "successors"), write(s, *merged_triples(pair, third, n)))})
+
+    def write(s: int, pair: np.ndarray, third: np.ndarray, n: np.ndarray) -> tuple[list, list]:
+        """The file of shard s; the split contexts in it, and how many successors they have here."""
+        first = int(model.starts[s] >> U(32))
+        contexts = max(int(mapped_file(folder, "shards")["last"][s]) - first, 1)
+        at = heads(pair)
+        of_pair = np.append(at, len(pair))
+        count = np.add.reduceat(n, at) if len(at) else n
+        context, word = (pair[at] >> U(32)).astype(np.int64) - first, (pair[at] & U(0xFFFFFFFF)).astype(np.int64)
+        here = np.unique(context)
+        seen = np.ones(contexts)
+        seen[here] = np.maximum(model.counts((first + here).astype(np.uint32))[0], 1)
+        successors = np.bincount(context, minlength=contexts)
+        inner = third != NONE
+        thirds = np.add.reduceat(inner.astype(np.int64), at) if len(at) else count
+        pair_of = np.repeat(np.arange(len(at)), np.diff(of_pair))[inner]
+        rest3 = np.where(thirds > 0, DISCOUNT * thirds / np.maximum(count, 1), 1.0)
+        arrays = {"contexts": np.array([first, contexts]), "rest": code(np.where(successors > 0, DISCOUNT * successors / seen, 1.0)), "code": code((count - DISCOUNT) / seen[context])}
+        arrays |= {"rest3": code(rest3), "code3": code((n[inner] - DISCOUNT) / count[pair_of])}
+        arrays |= _level("", np.searchsorted(context, np.arange(contexts + 1)), word) | _level("3", np.append(0, np.cumsum(thirds)), third[inner])
+        put(folder, f"grams-{s}", arrays)
+        mine = [c for c in split if 0 <= c - first < contexts]
+        return [mine], [[int(successors[c - first]) for c in mine]]
+
+    done = triples.grouped(texts.mapInArrow(send, triples.schema)).applyInArrow(levels, "contexts array<long>, successors array<long>")
+    found: dict[int, int] = {}
+    for row in done.where(F.size("contexts") > 0).collect():
+        for c, k in zip(row["contexts"], row["successors"]):
+            found[c] = found.get(c, 0) + k
+    mass = {int(model.offsets[r]) + i: m for r in by for i, m in zip(by[r]["hot"], by[r]["hot_mass"])}
+    return Model(folder, bits, model.offsets.tolist(), model.total, {c: DISCOUNT * k / mass[c] for c, k in found.items()})
 
 
 def _finish_level1(spark, model: Model, shards: list[int]) -> None:
@@ -334,20 +381,19 @@ SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 
 def score_piece(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, model: Model) -> pa.RecordBatch:
     hashes, of = tokens(data, offsets)
-    known, back = np.unique(hashes, return_inverse=True)
-    ids = model.ids(known)
+    back, ids, key = token_pairs(hashes, of, model)
     order = np.argsort(ids, kind="stable")
     n, own = np.empty(len(ids), np.int64), np.empty(len(ids), np.uint8)
     n[order], own[order] = model.counts(ids[order])
-    now = ids[back]
-    before = np.empty_like(now)
-    before[1:] = now[:-1]
-    before[of[:-1]] = ids[np.searchsorted(known, END)]
-    key = before.astype(U) << U(32) | now.astype(U)
-    in_model, place = np.unique(key, return_inverse=True)
-    stored, rest = model.pairs(in_model)
-    stored, rest = stored[place], rest[place]
-    cost = np.where(stored >= 0, stored, rest + own[back].astype(np.int64))
+    pairs, of_pair = np.unique(key, return_inverse=True)
+    p2, rest2, place = model.pairs(pairs)
+    p = p2[of_pair] + rest2[of_pair] * VALUE[own][back]
+    inner = np.ones(len(key), bool)
+    inner[of[:-1]] = False  # the first of a text has one word before it, its end
+    inner = np.flatnonzero(inner)
+    triples, of_triple = np.unique(of_pair[inner - 1].astype(U) << U(32) | key[inner] & U(0xFFFFFFFF), return_inverse=True)
+    p3, rest3 = model.triples(pairs, place, (triples >> U(32)).astype(np.int64), (triples & U(0xFFFFFFFF)).astype(np.uint32))
+    p[inner] = p3[of_triple] + rest3[of_triple] * p[inner]
     sums = lambda x: np.add.reduceat(x, of[:-1])  # noqa: E731  every text has its end
     base = np.log10(model.p(n))
     columns = [
@@ -356,7 +402,7 @@ def score_piece(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, mod
         pa.array(sums((n > 0)[back].astype(np.int64))),
         pa.array(np.full(len(of) - 1, model.total)),
         pa.array(sums(base[back])),
-        pa.array(-STEP * sums(cost)),
+        pa.array(sums(np.log10(p))),
     ]
     return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -366,7 +412,7 @@ def fold(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 10
 
 
-def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """SCORES and held_out for each row of docs, by a model of the rows that are not held out.
 
     Null and empty texts have one token, their end. Rows with a null id are not held out. With nothing to learn from,
@@ -374,6 +420,6 @@ def scored(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held_out = F.coalesce(fold() == 0, F.lit(False))
-    model = train(narrow.where(~held_out))
+    model = train(narrow.where(~held_out), **how)
     out = narrow.mapInArrow(B.mapped(lambda *x: score_piece(*x, model), PIECE), SCORES)
     return out.withColumn("held_out", held_out)
