@@ -378,6 +378,69 @@ def test_components_that_have_not_settled_are_an_error(spark):
     assert {r.component for r in components(path).collect()} == {0}
 
 
+def classes_of(n, pairs):
+    label = list(range(n))
+    for a, b in pairs:
+        x, y = sorted((label[a], label[b]))
+        label = [x if c == y else c for c in label]
+    return label
+
+
+def test_spans_of_a_key_against_all_pairs_of_windows():
+    rng = np.random.default_rng(1)
+    least, need = 46, 0.8 * 2 * 46 / 1.8 - 1e-9
+    draw = lambda n, few: rng.integers(0, 25 if few else 1 << 32, n, dtype=np.uint64)
+    linked = 0
+    for case in range(200):
+        base = draw(rng.integers(50, 70), case % 3 == 0)
+        spans = []
+        for _ in range(4):
+            a = base.tolist()
+            for _ in range(rng.integers(0, 3)):
+                at, k = rng.integers(0, len(a)), rng.integers(1, 6)
+                a[at : at + k * (rng.random() < 0.5)] = draw(k, False).tolist()
+            spans.append(np.array(a[rng.integers(0, 5) :][: rng.integers(46, 80)], np.uint64))
+        spans = [x for x in spans if len(x) >= least]
+        size = np.array([len(x) for x in spans])
+        bags = [[Counter(x[i : i + least].tolist()) for i in range(len(x) - least + 1)] for x in spans]
+        pairs = [(i, j) for i in range(len(spans)) for j in range(i) if any((a & b).total() >= need for a in bags[i] for b in bags[j])]
+        found = compact_windows.near_links(np.arange(len(spans)), size - least, np.concatenate(spans), size, least, 0.8)
+        assert classes_of(len(spans), [x[:2] for x in found]) == classes_of(len(spans), pairs)
+        linked += len(pairs)
+    assert linked > 300
+
+
+def test_near_passages_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 30000, n)]
+    line = draw(30)  # shorter than a passage, and in most documents
+    texts = []
+    for i in range(90):
+        passage = draw(int(rng.integers(50, 75)))
+        for copy in range(2 + i % 2):
+            edited, at = list(passage), int(rng.integers(3, len(passage) - 3))
+            if copy:
+                edited[at : at + int(i % 3 > 0)] = draw(int(i % 3 < 2))  # one word put in, replaced, or left out
+            texts.append(draw(int(rng.integers(0, 40))) + edited + draw(int(rng.integers(0, 40))) + (line if i % 4 else []) + draw(int(rng.integers(0, 40))))
+    places = [[hash(tuple(t[i : i + 5])) for i in range(len(t) - 4)] for t in texts]
+    need, n = 0.8 * 2 * 46 / 1.8 - 1e-9, len(texts)
+    pairs = []
+    for a in range(n):
+        for b in range(a):
+            if len({*places[a]} & {*places[b]}) >= need:
+                same = np.zeros((len(places[a]) + 1, len(places[b]) + 1), int)
+                same[1:, 1:] = (np.array(places[a])[:, None] == np.array(places[b])[None, :]).cumsum(0).cumsum(1)
+                if (same[46:, 46:] - same[:-46, 46:] - same[46:, :-46] + same[:-46, :-46]).max() >= need:
+                    pairs.append((a, b))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for block in (2048, 3):
+        found = {r.doc_id: r.class_id for r in compact_windows.passages(docs, chunk_bytes=20_000, block=block).collect()}
+        right = classes_of(n, pairs)
+        assert all(right[i] == right[found[i]] for i in range(n)), "linked without a near passage"
+        caught = np.mean([found[a] == found[b] for a, b in pairs])
+        assert len(pairs) > 80 and caught >= 0.95, caught
+
+
 def test_similar_windows_against_all_offsets():
     rng = np.random.default_rng(6)
     least, need = 46, 0.8 * 2 * 46 / 1.8
