@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+#: Values that are looked through one by one.
+FEW = 3
 
 
 class Bits:
@@ -32,15 +34,22 @@ class Bits:
         return (self.words[(bit >> U(3)).astype(np.int64)] >> (bit & U(7))) & U((1 << self.width) - 1)
 
 
+#: Place of the (k+1)-th one of each byte, at 8 * byte + k.
+_IN_BYTE = np.zeros(256 * 8, np.uint8)
+for _byte in range(256):
+    _ones = [k for k in range(8) if _byte >> k & 1]
+    _IN_BYTE[8 * _byte : 8 * _byte + len(_ones)] = _ones
+
+
 def _select(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the (k+1)-th one of each word."""
-    place, k = np.zeros(len(word), U), k.astype(np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count((word >> place) & U((1 << step) - 1)).astype(np.int64)
-        right = k >= ones
-        k = np.where(right, k - ones, k)
-        place = np.where(right, place + U(step), place)
-    return place
+    """Place of the (k+1)-th one of each word: first its byte, by the ones up to each byte, then its place there."""
+    s = word - ((word >> U(1)) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+    s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * U(0x0101010101010101)
+    byte = (s.view(np.uint8).reshape(-1, 8) <= k.astype(np.uint8)[:, None]).sum(1, dtype=np.uint8)
+    shift = byte.astype(U) << U(3)
+    before = ((s << U(8)) >> shift) & U(255)
+    return shift + _IN_BYTE[(((word >> shift) & U(255)) << U(3)).astype(np.int64) + (k - before.astype(np.int64))]
 
 
 class EliasFano:
@@ -81,8 +90,12 @@ class EliasFano:
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Place of the first value that is not under x; n if there is none."""
+        return self._search(x)[0]
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Successors' places, and which of them are x itself."""
         if not self.n or not len(x):
-            return np.full(len(x), self.n, np.int64)
+            return np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
         bucket = (x >> U(self.low.width)).astype(np.int64)
         beyond = bucket >= self.zeros[-1]
         bucket = np.where(beyond, 0, bucket)
@@ -90,7 +103,7 @@ class EliasFano:
         end = np.minimum(self._zero(bucket) - bucket, self.n)
         low = x & U((1 << self.low.width) - 1)
         # lows rise within a bucket
-        lo, hi = at, end
+        lo, hi = at, end.copy()
         while True:
             open_ = np.flatnonzero(lo < hi)
             if not len(open_):
@@ -99,4 +112,20 @@ class EliasFano:
             less = self.low.get(mid) < low[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
-        return np.where(beyond, self.n, lo)
+        exact = (lo < end) & ~beyond
+        exact[exact] = self.low.get(lo[exact]) == low[exact]
+        return np.where(beyond, self.n, lo), exact
+
+    def find(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Place of x among the values from lo to hi, or -1. Short ranges are looked through."""
+        out = np.full(len(x), -1, np.int64)
+        size = hi - lo
+        for j in range(FEW):
+            here = np.flatnonzero((size > j) & (size <= FEW))
+            hit = here[self.get(lo[here] + j) == x[here]]
+            out[hit] = lo[hit] + j
+        many = np.flatnonzero(size > FEW)
+        place, exact = self._search(x[many])
+        ok = exact & (place >= lo[many]) & (place < hi[many])
+        out[many[ok]] = place[ok]
+        return out

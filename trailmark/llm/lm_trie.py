@@ -37,7 +37,7 @@ DISCOUNT, STEP = 0.75, 0.05
 #: Probability of each code.
 VALUE = 10.0 ** (-STEP * np.arange(256))
 #: Tokens that a task counts together; tokens that a shard of pairs stands for; bytes of text at once.
-HELD, SHARD_TOKENS, PIECE = 1 << 22, 1 << 22, 1 << 22
+HELD, SHARD_TOKENS, PIECE = 5 << 19, 1 << 21, 1 << 22
 #: Bytes of text whose words are a shard of level 1.
 SHARD_TEXT = 64 << 20
 
@@ -55,7 +55,7 @@ def _of(prefix: str, arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and their summed counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = heads(keys)
     return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
@@ -233,17 +233,16 @@ class Model:
 
 
 def _successors(pointer: EliasFano, word: EliasFano, context: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the wanted words are among their context's successors, and the places of these."""
-    lo, hi = pointer.get(context).astype(np.int64), pointer.get(context + 1).astype(np.int64)
-    some = np.flatnonzero(lo < hi)
-    lo, hi = lo[some], hi[some]
-    base = np.zeros(len(some), U)
-    base[lo > 0] = word.get(lo[lo > 0] - 1) + U(1)
-    target = base + wanted[some]
-    place = word.successor(target)
-    hit = np.flatnonzero(place < hi)
-    hit = hit[word.get(place[hit]) == target[hit]]
-    return some[hit], place[hit]
+    """Which of the wanted words are among their context's successors, and the places of these. Contexts rise."""
+    first = heads(context)
+    each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(context))))
+    lo, hi = pointer.get(context[first]).astype(np.int64), pointer.get(context[first] + 1).astype(np.int64)
+    base = np.zeros(len(first), U)
+    later = np.flatnonzero((lo > 0) & (lo < hi))
+    base[later] = word.get(lo[later] - 1) + U(1)
+    place = word.find(lo[each], hi[each], base[each] + wanted)
+    hit = np.flatnonzero(place >= 0)
+    return hit, place[hit]
 
 
 def _level(prefix: str, first: np.ndarray, word: np.ndarray) -> dict[str, np.ndarray]:
@@ -318,7 +317,8 @@ def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
 
     def send(batches):
         for pair, third in gathered(batches, taken):
-            pair, third, n = merged_triples(pair, third, np.ones(len(pair), np.int64))
+            pair, third, n = merged_triples(pair, third, np.ones(len(pair), np.uint8))
+            B.trim()
             shard = np.searchsorted(model.starts, pair, "right") - 1
             yield from triples.rows(shard.astype(U) << U(64 - bits2), pair, third, n)
 
@@ -382,7 +382,7 @@ SCORES = "doc_id long, n_tokens long, n_known long, train_tokens long, base_scor
 def score_piece(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, model: Model) -> pa.RecordBatch:
     hashes, of = tokens(data, offsets)
     back, ids, key = token_pairs(hashes, of, model)
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids)
     n, own = np.empty(len(ids), np.int64), np.empty(len(ids), np.uint8)
     n[order], own[order] = model.counts(ids[order])
     pairs, of_pair = np.unique(key, return_inverse=True)
