@@ -55,6 +55,9 @@ def test_text(spark):
     t = F.col("t")
     assert one(spark, text.normalize_text(t), t="CSE452 L04! 007 0") == "cse 452 l 4 7 0"
     assert one(spark, text.index_text(t), t="Café ﬁne") == "cafe fine"
+    assert one(spark, text.normalize_text(t), t="Café x\u0304y हिन्दी") == "café x y ह न द"
+    assert one(spark, text.index_text(t), t="Café x\u0304y हिन्दी 한국") == "cafe x y ह न द 한국"
+    assert [g[0].words for g in one(spark, text.query_groups(text.query_tokens(t)), t="pull pull request request")] == [["pull"], ["pull", "request"], ["request"]]
     assert one(spark, text.query_tokens(t), t="the of") == ["the", "of"]
     assert one(spark, text.query_tokens(t), t="open the RPC page") == ["rpc"]
     groups = one(spark, text.query_groups(text.query_tokens(t)), t="pull request lectures 5")
@@ -83,6 +86,27 @@ def test_html():
     assert html.parse(None, "")[0] == "" and html.parse("<p><b>x", "")[4] == []
 
 
+def test_link_names_and_contexts():
+    page = """<p>Before <a href=/1>one</a> after<ul><li>Item <a href=/2><img src=x><img alt=" two "></a><li><a href=/3 title=three></a>
+    <table><tr><th>Day<td><a href=/4>four</a><td></td><tr><td><a href=/5>five</a></table><area href=/6 aria-label=six>"""
+    links = html.parse(page, "https://h.example/")[4]
+    assert [(a[-1], b, c) for a, b, c in links] == [("1", "one", "Before one after"), ("2", "two", "Item"), ("3", "three", "Day four five"), ("4", "four", "Day · four"), ("5", "five", ""), ("6", "six", "Day four five")]
+    deep = "<div>" * 5000 + "<a href=/x>x</a>"
+    assert html.parse(deep, "https://h.example/")[4] == [("https://h.example/x", "x", "")]
+
+
+def test_rendered_outline():
+    page = """<meta property=og:description content="shared"><meta name=description content=" told "><body><nav><a href=/n>n</a><p>one two three four five six</p></nav>
+    <div class=breadcrumbs>Home › Here</div><main><h1>Top</h1><p>a b c d e</p><p>too short</p><p>f g h i j</p><p>third under the same heading</p><h2>Next</h2>
+    <li>k l m n o <a href=/in>in</a></li><div aria-hidden=true><a href=/hidden>h</a></div><a href="mailto:a@b.c">m</a><a href="me@h.example">me</a></main>"""
+    headings, blocks, told, crumb, links = html.outline_of(page, "https://h.example/p")
+    assert (headings, blocks, told, crumb) == (["Top", "Next"], ["a b c d e", "f g h i j", "k l m n o in"], "told", "Home › Here")
+    assert links == [("https://h.example/in", "in", "k l m n o in")]
+    bare = "<body>" + "".join(f"<div><div>box {i} of plain words</div></div>" for i in range(9)) + "<a href=/y>y</a>" * 400
+    assert len(html.outline_of(bare, "https://h.example/")[1]) == 6 and len(html.outline_of(bare, "https://h.example/")[4]) == 300
+    assert html.outline_of(None, "") == ([], [], "", "", [])
+
+
 def test_sessionize(spark):
     rows = [(1, i, *r) for i, r in enumerate([(0.0, "t", False, "https://s.example/?q=1", "s"), (2.0, "t", False, "https://c.example/", "c"), (30.0, "t", False, "https://c.example/", "c"), (40.0, None, None, None, None), (42.0, "u", True, "https://x.example/", "x"), (50.0, "u", False, "https://c.example/", "again"), (60.0, "u", False, "https://c.example/", "again")])]
     ticks = spark.createDataFrame(rows, "user_id long, tick_id long, ts_s double, tab_id string, incognito boolean, url string, title string")
@@ -138,6 +162,16 @@ def test_concentration_adoption_and_depth(spark):
     assert grouped(spark, {"/a/b/c/d/e/f/g.html": 3}) == {"/a/b/c/d/e/f/g.html": "/a/b/c/d/"}
 
 
+@pytest.mark.parametrize("depth", [2, 9, 10, 11, 12, 36, 200])
+def test_tenants_of_any_depth(spark, depth):
+    """Children that agree on half of the places below them, and one that agrees on one place too few."""
+    need = max(1, math.ceil((depth - 1) / 2))
+    shape = lambda own, n: "/".join([own, "x", *(f"s{'abcdefghij'[i % 10]}" if i < n else f"{own}{'klmnopqrst'[i % 10]}" for i in range(depth - 1))])
+    got = grouped(spark, {f"/{shape('one', need)}": 1, f"/{shape('two', depth - 1)}": 1, f"/{shape('few', need - 1)}": 1, "/a": 9, "/b": 9, "/c": 9})
+    assert {p.split("/")[1]: place for p, place in got.items()}["few"] == "/"
+    assert all(place.startswith(f"/{p.split('/')[1]}/") for p, place in got.items() if p.split("/")[1] in ("one", "two"))
+
+
 def test_hubs_and_cycle(spark):
     rows = []
     for i, day in enumerate([9, 6, 3]):
@@ -165,6 +199,25 @@ def test_store(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         catalog.write_all({"pages": old, "other": old.select(F.raise_error(F.lit("broken")).alias("x"))})
     assert catalog.version("pages") == version and catalog.version("other") is None
+
+    def crash():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        catalog.write_all({"pages": old, "other": old}, before_commit=crash)
+    assert catalog.version("pages") == version and catalog.version("other") is None
+
+    def another():
+        store.Catalog(spark, str(tmp_path)).write("third", old)
+
+    catalog.write_all({"pages": catalog.read("pages"), "other": old}, before_commit=another)  # of other relations
+    assert {*catalog.manifest()[1]} == {"pages", "other", "third"}
+    with pytest.raises(store.Conflict):
+        catalog.write_all({"third": old}, before_commit=another)
+    was = sorted(map(tuple, catalog.read("pages").collect()))
+    catalog.vacuum(keep=1)
+    assert sorted(map(tuple, catalog.read("pages").collect())) == was and len(catalog.commits()) == 1
+    assert len(list((tmp_path / "pages").iterdir())) == 1
     links = spark.createDataFrame([(1, 2, "old", "", 5)], "from_id long, to_id long, anchor string, context string, link_seq long")
     assert [tuple(r) for r in store.upsert_links(links, links.withColumns({"anchor": F.lit("new"), "link_seq": F.lit(9).cast("long")})).collect()] == [(1, 2, "new", "", 5)]
 
@@ -172,8 +225,8 @@ def test_store(spark, tmp_path):
 def test_names(spark):
     rows = [(i, f"https://s.example/p{i}", t, h) for i, (t, h) in enumerate([("Alpha – My Site", []), ("Beta – My Site", []), ("(12) Gamma – My Site", []), ("Home – My Site", ["Head"]), ("Home – My Site", []), ("Untitled document", []), (None, [])])]
     pages = spark.createDataFrame(rows, "page_id long, url string, title string, headings array<string>")
-    anchors = spark.createDataFrame([(6, ["here", " The notes "])], "page_id long, anchors array<string>")
-    got = {r.url[-1]: r.name for r in naming.names(pages, anchors).collect()}
+    links = spark.createDataFrame([(6, "here", 1), (6, " The notes ", 2), (6, "later", 3), (5, None, 4)], "to_id long, anchor string, link_seq long")
+    got = {r.url[-1]: r.name for r in naming.names(pages, links).collect()}
     assert got == {"0": "Alpha", "1": "Beta", "2": "Gamma", "3": "Head", "4": "Home · p4", "5": "p5", "6": "The notes"}
 
 

@@ -1,6 +1,7 @@
 """One-hop crawl: which links of a page to save, which to fetch, and what to keep of what came back.
 
-Fetching is a function (url -> status, content_type, final_url, body) that runs in the tasks, or a table of replies.
+Fetching is a function (url -> status, content_type, final_url, body) that runs in the tasks (operators.fetch has the
+one for the web), or a table of replies.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import types as T
 from ..config import DEFAULT
 from ..functions import html as H
 from ..functions import urls
+from ..sources.shared import settled
+from .fetch import AGENT, DELAY_S, Robots, politely
 
-AGENT = "TrailmarkBot/0.1 (personal navigation index)"
 REPLY = "url string, status int, content_type string, final_url string, body string"
 
 
@@ -81,20 +83,52 @@ def discovered(targets: DataFrame, pages: DataFrame, scopes: DataFrame) -> DataF
     return rows.select("url", urls.kind(F.col("url")).alias("kind"), F.when(inside, F.concat("origin", "path_prefix")).alias("place_scope"))
 
 
-def fetched(targets: DataFrame, fetch: Callable[[str], tuple]) -> DataFrame:
-    """REPLY of each target's url; a failure is status 0."""
+def fetched(targets: DataFrame, fetch: Callable[[str], tuple], delay_s: float = 0.0, robots: Robots | None = None) -> DataFrame:
+    """REPLY of each target's url (in the order of `turn`, if there is one); a failure is status 0. A site's targets are
+    fetched by one task, with delay_s between them, as far as `robots` allows them."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for url in batch["url"]:
-                try:
-                    rows.append((url, *fetch(url)))
-                except Exception:  # noqa: BLE001  one bad page must not stop the rest
-                    rows.append((url, 0, "", url, None))
-            yield pd.DataFrame(rows, columns=["url", "status", "content_type", "final_url", "body"])
-
-    return targets.select("url").mapInPandas(run, REPLY)
+            wanted = (u for u in batch["url"] if robots is None or robots.allowed(u))
+            yield pd.DataFrame(list(politely(wanted, fetch, delay_s)), columns=["url", "status", "content_type", "final_url", "body"])
+
+    turn = F.col("turn") if "turn" in targets.columns else F.lit(0)
+    rows = targets.select("url", urls.origin(F.col("url")).alias("site"), turn.alias("turn"))
+    return rows.repartition("site").sortWithinPartitions("site", "turn", "url").select("url").mapInPandas(run, REPLY)
+
+
+PAYLOAD = "url string, links array<array<string>>, _key string"
+
+
+def job_links(jobs: DataFrame, pages: DataFrame) -> DataFrame:
+    """job_id, from_url, url, anchor, context, link_seq: the links in the jobs' payloads, normalised; of a page's links to
+    one target the first with a text, else the first; none to the page itself."""
+    rows = jobs.select("job_id", F.from_json("payload", PAYLOAD).alias("p")).select("job_id", F.col("p.url").alias("from_url"), F.posexplode("p.links").alias("link_seq", "l"))
+    part = lambda i: F.coalesce(F.get("l", F.lit(i)), F.lit(""))
+    rows = rows.select("job_id", "from_url", urls.normalize(part(0)).alias("url"), part(1).alias("anchor"), part(2).alias("context"), "link_seq")
+    rows = rows.where("url is not null and url != from_url")
+    best = F.struct(F.col("anchor") == "", "link_seq")
+    return rows.groupBy("job_id", "from_url", "url").agg(F.min_by("anchor", best).alias("anchor"), F.min_by("context", best).alias("context"), F.min("link_seq").alias("link_seq"))
+
+
+def run_jobs(jobs: DataFrame, pages: DataFrame, places: DataFrame, now: float, fetch: Callable[[str], tuple], robots: Robots | None = None, delay_s: float = DELAY_S, budget: int = DEFAULT.page_budget) -> dict[str, DataFrame]:
+    """What crawling these jobs (job_id, payload: JSON of url and links [[href, anchor, context]]) gives: `links` (their
+    links), `discovered` (pages that are new), `recorded` (what to write of the pages that were fetched), `finished`
+    (job_id, status, error) and `counts` (jobs, failed, fetched, discovered). pages: url, place_id, visited, snippet,
+    crawled_at."""
+    read = F.from_json("payload", PAYLOAD)
+    jobs = settled(jobs.select("job_id", "payload", F.coalesce(read["url"].isNotNull() & read["links"].isNotNull(), F.lit(False)).alias("ok")))
+    links = settled(job_links(jobs.where("ok"), pages))
+    home = pages.join(places.select("place_id", "origin", "path_prefix"), "place_id").select(F.col("url").alias("from_url"), "origin", "path_prefix")
+    found = settled(discovered(links, pages, home))
+    wanted = frontier(links.select("job_id", "from_url", "url", "link_seq"), pages, now)
+    once = budgeted(wanted, budget).groupBy("url").agg(F.min("turn").alias("turn"))
+    kept = settled(recorded(settled(fetched(once, fetch, delay_s, robots)), pages, now))
+    finished = jobs.select("job_id", F.when(F.col("ok"), "done").otherwise("failed").alias("status"), F.when(~F.col("ok"), "no url or links in the payload").alias("error"))
+    counts = finished.agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("status") == "failed").alias("failed"))
+    for name, rows in (("fetched", kept), ("discovered", found)):
+        counts = counts.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias(name))))  # one row each
+    return {"links": links, "discovered": found, "recorded": kept, "finished": finished, "counts": counts}
 
 
 def media_type(content_type: Column) -> Column:

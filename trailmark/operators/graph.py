@@ -79,6 +79,12 @@ def deduped_targets(links: DataFrame, page: str = "page_id") -> DataFrame:
     return ranked.select(page, "target", "anchor", "context", F.col("seq").alias("link_seq"))
 
 
+def first_anchors(links: DataFrame, useless: str) -> DataFrame:
+    """page_id, anchor: of the incoming links, the first text (trimmed) that does not match `useless`."""
+    said = links.select(F.col("to_id").alias("page_id"), F.trim("anchor").alias("anchor"), "link_seq")
+    return said.where((F.col("anchor") != "") & ~F.col("anchor").rlike(useless)).groupBy("page_id").agg(F.min_by("anchor", F.struct("link_seq", "anchor")).alias("anchor"))
+
+
 def incoming_anchors(links: DataFrame) -> DataFrame:
     """page_id, anchors: all non-empty anchors in order."""
     said = links.where("anchor is not null and anchor != ''").groupBy(F.col("to_id").alias("page_id"))

@@ -1,14 +1,26 @@
 """A job queue as a log of events. There is one writer; state is what the log says.
 
-jobs: job_id, type, key, status, attempts, created_at, started_at (seconds).
+jobs: job_id, type, payload (JSON; its _key is the key), status, attempts, created_at, started_at (seconds).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def payload_key(payload: Column) -> Column:
+    """The key that a job's payload (JSON) holds, if any."""
+    return F.get_json_object(payload, "$._key")
+
+
+def with_key(payload: Column, key: Column) -> Column:
+    """The payload (a JSON object) with a key in it; a null key leaves it as it is."""
+    own = F.to_json(F.struct(key.alias("_key")))
+    open_ = F.regexp_replace(F.trim(payload), r"\s*\}$", "")
+    return F.when(key.isNull(), payload).otherwise(F.concat(open_, F.when(open_ == "{", "").otherwise(","), F.substr(own, F.lit(2))))
+
+
 def accepted(posts: DataFrame, pending: DataFrame) -> DataFrame:
     """Of new posts (post_id, type, key; a null key is never a repeat) those whose key has no pending job of the type,
     and the first of each key among themselves."""

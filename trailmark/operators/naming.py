@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from . import graph
 
 # Separators, unread counts, titles and link texts that are no names, and how many pages share a habit.
 SEPARATOR = r"\s+[–—|·•-]\s+"
@@ -64,17 +65,16 @@ def generic_titles(cleaned: DataFrame) -> DataFrame:
     return lowered.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= TITLE_PAGES)
 
 
-def names(pages: DataFrame, anchors: DataFrame) -> DataFrame:
-    """url, name. pages: page_id, url, title, headings (array); anchors: page_id, anchors (array, in order)."""
+def names(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """url, name. pages: page_id, url, title, headings (array); links: to_id, anchor, link_seq."""
     cleaned = with_clean_titles(pages)
     generic = generic_titles(cleaned).select("host", "lowered", F.lit(True).alias("generic"))
-    rows = cleaned.withColumn("lowered", F.lower("clean")).join(generic, ["host", "lowered"], "left").join(anchors, "page_id", "left")
+    rows = cleaned.withColumn("lowered", F.lower("clean")).join(generic, ["host", "lowered"], "left").join(graph.first_anchors(links, NO_NAME), "page_id", "left")
     usable = (F.col("clean") != "") & ~F.col("clean").rlike(DEFAULT_TITLE)
-    telling = F.try_element_at(F.filter(F.transform("anchors", lambda a: F.trim(a)), lambda a: (a != "") & ~a.rlike(NO_NAME)), F.lit(1))
     tail = F.coalesce(urls.unquoted(F.try_element_at(urls.segments(F.col("url")), F.lit(-1))), F.col("host"))
     cut = lambda c: F.left(c, F.lit(NAME_CHARS))
     name = F.coalesce(
-        cut(telling),
+        cut(F.col("anchor")),
         F.when(usable & F.col("generic").isNull(), cut(F.col("clean"))),
         cut(F.try_element_at("headings", F.lit(1))),
         F.when(usable, cut(F.concat("clean", F.lit(" · "), tail))),

@@ -3,8 +3,10 @@
 Grouping walks down each site's directories, a level at a time for all sites at once. A URL's state is the directory
 it belongs to; at each level the URLs of a directory either stay (and form a place there) or go down into a child.
 Children whose URLs have alike shapes are tenants and all go down. Alike means to agree on half of the shape's
-positions, that is, to agree on some choice of that many positions: so each shape is expanded into its choices, and a
-choice that two children share marks both - an aggregation, where comparing children pairwise would be quadratic.
+positions, that is, to agree on some choice of that many positions: so each short shape is expanded into its choices,
+and a choice that two children share marks both - an aggregation, where comparing children pairwise would be quadratic.
+Long shapes have too many choices. Of these, two that agree on `need` of m positions share one of the m - need + 1
+rarest values (with their positions) of either, so shapes meet by these alone and are then compared.
 """
 
 from __future__ import annotations
@@ -17,6 +19,9 @@ from ..functions import urls
 from ..sources.shared import settled
 from .visits import utc_day
 
+#: Positions of a shape up to which its choices of half of them are few (252).
+MOST_CHOSEN = 10
+
 
 def hub_statistics(visits: DataFrame, bounce_s: float = DEFAULT.bounce_s) -> DataFrame:
     """user_id, path_key, n_visits, distinct_share (queries over (query, UTC day) pairs), n_origins (other origins that
@@ -79,23 +84,50 @@ def directories(url_days: DataFrame, max_depth: int = DEFAULT.max_depth) -> Data
 
 
 def _choices(shape: Column) -> Column:
-    """Each choice of half of the shape's positions (one at least), with what stands there."""
-    m = F.size(shape)
-    need = F.greatest(F.lit(1), F.ceil(m / 2).cast("int"))
+    """Each choice of half of the shape's positions (one at least), with what stands there. For shapes of up to
+    MOST_CHOSEN positions."""
+    m, need = F.size(shape), _need(shape)
     masks = F.filter(F.sequence(F.lit(1), F.pow(F.lit(2), m).cast("int") - 1), lambda x: F.bit_count(x) == need)
     text = lambda mask: F.array_join(F.transform(shape, lambda s, i: F.when(mask.bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0, s).otherwise(F.lit("/"))), "|")
     return F.transform(masks, lambda x: F.concat_ws(":", m.cast("string"), text(x)))
 
 
+def _need(shape: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.size(shape) / 2).cast("int"))
+
+
+def _meeting_shapes(shaped: DataFrame) -> DataFrame:
+    """The rows of shaped whose shape is also another child's, or agrees on half of the positions with another
+    child's. Equal shapes are taken together first; the others meet by their rarest values."""
+    node = ["user_id", "origin", "at"]
+    kinds = settled(shaped.groupBy(*node, "shape").agg(F.min("child").alias("least"), F.max("child").alias("most")))
+    values = kinds.select(*node, "shape", "least", "most", F.size("shape").alias("m"), F.posexplode("shape").alias("i", "value"))
+    common = values.groupBy(*node, "m", "i", "value").agg(F.count(F.lit(1)).alias("n"))
+    rarest = Window.partitionBy(*node, "shape").orderBy("n", "i")
+    ranked = values.join(common, [*node, "m", "i", "value"]).withColumn("r", F.row_number().over(rarest))
+    rare = settled(ranked.where((F.col("r") <= F.col("m") - _need(F.col("shape")) + 1) & (F.col("n") > 1)))
+    a, b = rare.alias("a"), rare.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*node, "m", "i", "value")]
+    pairs = a.join(b, same).where("a.shape < b.shape").select(*(F.col(f"a.{c}") for c in node), F.col("a.shape").alias("one"), F.col("b.shape").alias("two"), *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("least", "most")))
+    agreed = F.size(F.filter(F.zip_with("one", "two", lambda x, y: x == y), lambda x: x))
+    # of one and the same child only, they mark nobody
+    two_children = ~((F.col("a_least") == F.col("b_most")) & (F.col("a_most") == F.col("b_least")))
+    alike = pairs.where(two_children & (agreed >= _need(F.col("one")))).select(*node, F.explode(F.array("one", "two")).alias("shape"))
+    found = alike.union(kinds.where("least != most").select(*node, "shape")).distinct()
+    return shaped.join(found, [*node, "shape"], "left_semi")
+
+
 def tenants(rows: DataFrame, depth: int) -> DataFrame:
     """user_id, origin, at (directory), child of the children that share a shape with another child. rows: as from
     directories(), in their directory of this depth, with `at` and `child`."""
     below = F.slice("own", depth + 2, F.greatest(F.size("own") - depth - 1, F.lit(0)))
     shape = F.transform(F.slice(below, 2, F.greatest(F.size(below) - 1, F.lit(0))), urls.segment_shape)
-    shaped = rows.where(F.col("child").isNotNull() & (F.size("own") - depth - 1 >= 2)).select("user_id", "origin", "at", "child", shape.alias("shape")).distinct()
-    chosen = settled(shaped.select("user_id", "origin", "at", "child", F.explode(_choices(F.col("shape"))).alias("choice")).distinct())
+    shaped = settled(rows.where(F.col("child").isNotNull() & (F.size("own") - depth - 1 >= 2)).select("user_id", "origin", "at", "child", shape.alias("shape")).distinct())
+    short, long_ = (shaped.where(c) for c in (F.size("shape") <= MOST_CHOSEN, F.size("shape") > MOST_CHOSEN))
+    chosen = settled(short.select("user_id", "origin", "at", "child", F.explode(_choices(F.col("shape"))).alias("choice")).distinct())
     shared = chosen.groupBy("user_id", "origin", "at", "choice").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return chosen.join(shared, ["user_id", "origin", "at", "choice"], "left_semi").select("user_id", "origin", "at", "child").distinct()
+    found = chosen.join(shared, ["user_id", "origin", "at", "choice"], "left_semi").select("user_id", "origin", "at", "child")
+    return found.union(_meeting_shapes(long_).select("user_id", "origin", "at", "child")).distinct()
 
 
 def at_level(rows: DataFrame, depth: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -38,24 +38,35 @@ def alias_places(queries: DataFrame, places: DataFrame) -> DataFrame:
     return whole.union(of_query.join(of_place, "word").select("query_id", "place_id")).distinct()
 
 
-def applicable_picks(queries: DataFrame, picks: DataFrame, but: Column | None = None) -> DataFrame:
+def applicable_picks(queries: DataFrame, picks: DataFrame) -> DataFrame:
     """query_id, page_id, n_picks: past picks whose query's words are all in the query, or the other way round.
-    `but`: a condition over both (pick_id of the pick, hidden of the query) that a pick must meet.
 
-    Containment is decided by counting common words, over an equi join on words, of distinct token sets - however
-    often the same words were typed."""
+    A word set lies in another only if its rarest word (among all sets) is in the other, so each meets the others by
+    that one word, and is then compared; common words bring nothing together. Sets are distinct, however often the same
+    words were typed."""
     tokens = F.array_sort(F.array_distinct(T.query_tokens(F.col("query"))))
-    asked = queries.withColumn("tokens", tokens).where(F.size("tokens") > 0)
-    past = picks.withColumn("past", tokens).where(F.size("past") > 0)
-    left = asked.select("tokens").distinct().select("tokens", F.explode("tokens").alias("w"))
-    right = past.select("past").distinct().select("past", F.explode("past").alias("w"))
-    common = left.join(right, "w").groupBy("tokens", "past").agg(F.count(F.lit(1)).alias("n"))
-    alike = common.where((F.col("n") == F.size("tokens")) | (F.col("n") == F.size("past"))).drop("n")
-    keep = asked.columns
-    found = asked.select("query_id", "tokens", *(c for c in keep if c == "hidden")).join(alike, "tokens").join(past.select("pick_id", "page_id", "past"), "past")
-    if but is not None:
-        found = found.where(but)
-    return found.groupBy("query_id", "page_id").agg(F.count(F.lit(1)).alias("n_picks"))
+    asked = settled(queries.withColumn("tokens", tokens).where(F.size("tokens") > 0))
+    past = settled(picks.withColumn("past", tokens).where(F.size("past") > 0))
+    sets = settled(asked.select("tokens").union(past.select(F.col("past").alias("tokens"))).distinct())
+    words = sets.select("tokens", F.explode("tokens").alias("w"))
+    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rarest = words.join(common, "w").groupBy("tokens").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    mine, theirs = asked.select("tokens").distinct(), past.select("past").distinct()
+    of = lambda rows, c: rows.join(rarest.withColumnRenamed("tokens", c), c)
+    every = lambda rows, c: rows.select(c, F.explode(c).alias("w"))
+    inside = F.size(F.array_except("tokens", "past")) == 0
+    around = F.size(F.array_except("past", "tokens")) == 0
+    alike = of(mine, "tokens").join(every(theirs, "past"), "w").where(inside).union(every(mine, "tokens").join(of(theirs, "past"), "w").where(around).select("w", "tokens", "past"))
+    alike = alike.select("tokens", "past").distinct()
+    per = past.groupBy("past", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    found = asked.select("query_id", "tokens").join(alike, "tokens").join(per, "past")
+    return found.groupBy("query_id", "page_id").agg(F.sum("n").alias("n_picks"))
+
+
+def recorded_pick(picks: DataFrame, query: str, page_id: int, now: float) -> DataFrame:
+    """picks (pick_id, query, page_id, ts_s) and one more: that this page was opened for this query."""
+    last = picks.agg((F.coalesce(F.max("pick_id"), F.lit(-1)) + 1).alias("pick_id"))
+    return picks.unionByName(last.select("pick_id", F.lit(query).alias("query"), F.lit(page_id).cast("long").alias("page_id"), F.lit(float(now)).alias("ts_s")), allowMissingColumns=True)
 
 
 def collapse(ranked: DataFrame, k: int) -> DataFrame:
@@ -69,31 +80,53 @@ def collapse(ranked: DataFrame, k: int) -> DataFrame:
 
 class Index:
     """What retrieval reads: pages (page_id, url, kind, name, title, headings, snippet, place_id, visited, last_visit,
-    revisit), links, places, picks (pick_id, query, page_id), and the postings of the pages."""
-
-    def __init__(self, pages: DataFrame, links: DataFrame, places: DataFrame, picks: DataFrame, settings: Settings = DEFAULT):
-        self.pages, self.links, self.places, self.picks, self.settings = settled(pages), settled(links), settled(places), settled(picks), settings
-        self.texts = settled(graph.link_texts(self.links, settings.max_link_texts))
-        self.posts = settled(index.postings(index.page_fields(self.pages, self.texts), "page_id", list(settings.field_weights)))
-        self.stats = settled(index.doc_stats(self.pages, self.posts, "page_id"))
-
-    def retrieve(self, queries: DataFrame, now: float, k: int | None = None, recent_days: int | None = DEFAULT.recent_days, but: Column | None = None) -> DataFrame:
-        """query_id, rank, page_id, url, kind, score, n_picks of the first k candidates of each query (query_id, query)."""
-        k = k or self.settings.candidates
-        atoms = settled(index.query_atoms(queries))
-        found = index.matches(index.hits(self.posts, atoms), atoms, self.stats, self.settings.field_weights)
-        found = found.withColumnRenamed("doc_id", "page_id")
-        placed = graph.page_with_place(graph.recent_or_near(self.pages, self.links, now, recent_days), self.places)
+    revisit), links, places, picks (pick_id, query, page_id), and the postings of the pages.
+
+    Built from relations, or opened over postings that a catalog keeps and brings up to date (stored())."""
+
+    def __init__(self, pages: DataFrame, links: DataFrame, places: DataFrame, picks: DataFrame, settings: Settings = DEFAULT, posts: DataFrame | None = None):
+        keep = settled if posts is None else (lambda df: df)
+        self.pages, self.links, self.places, self.picks, self.settings = keep(pages), keep(links), keep(places), keep(picks), settings
+        self.texts = keep(graph.link_texts(self.links, settings.max_link_texts))
+        if posts is None:
+            posts = settled(index.postings(index.page_fields(self.pages, self.texts), "page_id", list(settings.field_weights)))
+        self.posts = posts
+        self.stats = keep(index.doc_stats(self.pages, self.posts, "page_id"))
+        self.rated = keep(self._rated())
+        self.seen = keep(self.pages.select("page_id", "visited", "last_visit"))
+
+    def _rated(self) -> DataFrame:
+        """Pages outside hubs and their score of being visited again."""
+        placed = graph.page_with_place(self.pages, self.places)
         rated = graph.effective_revisit(graph.not_hubs(placed), graph.inherited_revisit(self.pages, self.links, self.places))
-        rated = rated.select("page_id", "url", "kind", "rv")
-        picks = applicable_picks(queries, self.picks, but)
-        boosted = alias_boosted(queries, self.pages, self.links, self.places).withColumn("boost", F.lit(self.settings.alias_boost))
+        return rated.select("page_id", "url", "kind", "rv")
+
+    def resident(self) -> Index:
+        """The same, with what a search reads in the executors' memory, spread over them."""
+        for name in ("posts", "stats", "rated", "seen", "picks", "links", "places"):
+            setattr(self, name, getattr(self, name).persist())
+            getattr(self, name).count()
+        return self
+
+    def retrieve(self, queries: DataFrame, now: float, k: int | None = None, recent_days: int | None = DEFAULT.recent_days) -> DataFrame:
+        """query_id, rank, page_id, url, kind, score, n_picks of the first k candidates of each query (query_id, query; with
+        a column `hidden`, one past pick of that query for that page does not count). Each distinct text is looked up once."""
+        k = k or self.settings.candidates
+        asked = settled(queries.withColumn("text_id", F.xxhash64("query")))
+        texts = asked.groupBy(F.col("text_id").alias("query_id")).agg(F.any_value("query").alias("query"))
+        atoms = settled(index.query_atoms(texts))
+        found = index.matches(index.hits(self.posts, atoms), atoms, self.stats, self.settings.field_weights).withColumnRenamed("doc_id", "page_id")
+        rated = self.rated.join(graph.recent_or_near(self.seen, self.links, now, recent_days).select("page_id"), "page_id", "left_semi")
+        picks = applicable_picks(texts, self.picks)
+        boosted = alias_boosted(texts, self.pages, self.links, self.places).withColumn("boost", F.lit(self.settings.alias_boost))
         rows = found.join(rated, "page_id").join(picks, ["query_id", "page_id"], "left").join(boosted, ["query_id", "page_id"], "left")
-        n_picks = F.coalesce("n_picks", F.lit(0))
+        rows = rows.withColumnRenamed("query_id", "text_id").join(asked.drop("query"), "text_id")
+        own = (F.col("hidden") == F.col("page_id")).cast("int") if "hidden" in queries.columns else F.lit(0)
+        n_picks = F.coalesce("n_picks", F.lit(0)) - F.coalesce(own, F.lit(0))
         relevance = F.col("bm25") + self.settings.coverage * F.col("covered")
-        score = F.round(relevance * (0.5 + F.col("rv")) * (1 + n_picks) * F.coalesce("boost", F.lit(1.0)), 6)
-        rows = rows.select("query_id", "page_id", "url", "kind", score.alias("score"), n_picks.alias("n_picks"))
-        return collapse(rows, k)
+        # the last places of a sum depend on its order, and must not decide
+        score = F.round(relevance * (0.5 + F.col("rv")) * (1 + n_picks) * F.coalesce("boost", F.lit(1.0)), 10)
+        return collapse(rows.select("query_id", "page_id", "url", "kind", score.alias("score"), n_picks.alias("n_picks")), k)
 
     def described(self, candidates: DataFrame) -> DataFrame:
         """candidates, with label and description."""
@@ -197,14 +230,16 @@ def search(index_: Index, queries: DataFrame, now: float, scorer: Scorer | None
 
 
 def evaluate(index_: Index, now: float, **how) -> DataFrame:
-    """case_id, picked, got (first result), hit1, hit5: every past pick's query, with just that pick hidden."""
-    cases = index_.picks.join(index_.pages.select("page_id"), "page_id", "left_semi")
-    queries = cases.select(F.col("pick_id").alias("query_id"), "query", F.col("pick_id").alias("hidden"))
-    top = search(index_, queries, now, but=F.col("pick_id") != F.col("hidden"), **how)
+    """case_id, picked, got (first result), hit1, hit5: every past pick's query, with just that pick hidden. A pick always
+    applies to its own query, so hiding it takes one from its page's picks; equal picks share one search."""
+    cases = index_.picks.join(index_.pages.select("page_id"), "page_id", "left_semi").select("pick_id", "query", "page_id")
+    own = F.xxhash64("query", "page_id")
+    queries = cases.groupBy("query", "page_id").agg(F.count(F.lit(1))).select(own.alias("query_id"), "query", F.col("page_id").alias("hidden"))
+    top = search(index_, queries, now, **how)
     per = top.groupBy("query_id").agg(F.min_by("page_id", "place").alias("got"), F.collect_set("page_id").alias("all"))
-    rows = cases.select(F.col("pick_id").alias("query_id"), F.col("page_id").alias("picked")).join(per, "query_id", "left")
+    rows = cases.select("pick_id", own.alias("query_id"), F.col("page_id").alias("picked")).join(per, "query_id", "left")
     return rows.select(
-        F.col("query_id").alias("case_id"), "picked", "got", F.coalesce(F.col("got") == F.col("picked"), F.lit(False)).alias("hit1"), F.coalesce(F.array_contains("all", F.col("picked")), F.lit(False)).alias("hit5")
+        F.col("pick_id").alias("case_id"), "picked", "got", F.coalesce(F.col("got") == F.col("picked"), F.lit(False)).alias("hit1"), F.coalesce(F.array_contains("all", F.col("picked")), F.lit(False)).alias("hit5")
     )
 
 

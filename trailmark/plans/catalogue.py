@@ -77,7 +77,7 @@ def html_headings(spark, sf):
 
 @query
 def html_links(spark, sf):
-    return world.html_links(spark, sf).select("page_id", "link_seq", "target", "anchor")
+    return world.html_links(spark, sf).select("page_id", "link_seq", "target", "anchor", "context")
 
 
 @query
@@ -87,8 +87,8 @@ def html_snippet(spark, sf):
 
 @query
 def page_outline(spark, sf):
-    rows = world.raw_pages(spark, sf).select("page_id", H.outline("html").alias("o"))
-    return rows.select("page_id", shown("o.headings").alias("headings"), shown("o.blocks", " … ").alias("blocks"))
+    rows = world.raw_pages(spark, sf).select("page_id", H.outline("html", "url").alias("o"))
+    return rows.select("page_id", shown("o.headings").alias("headings"), shown("o.blocks", " … ").alias("blocks"), F.size("o.links").alias("n_links"))
 
 
 @query
@@ -325,7 +325,7 @@ def changed_pages(spark, sf):
 def changed_names(spark, sf):
     rows = world.pages(spark, sf).select("page_id", "url", "title", "headings")
     old = rows.select("url", F.when(F.col("page_id") % 2 == 0, F.col("title")).alias("name"))
-    new = naming.names(rows, graph.incoming_anchors(world.links(spark, sf))).where("name != ''")
+    new = naming.names(rows, world.links(spark, sf)).where("name != ''")
     return store.changed(new, old, ["url"], ["name"])
 
 
@@ -439,8 +439,7 @@ def generic_titles(spark, sf):
 
 @query
 def page_names(spark, sf):
-    few = graph.incoming_anchors(world.links(spark, sf).where("to_id % 4 = 0"))
-    return naming.names(_titled(spark, sf), few)
+    return naming.names(_titled(spark, sf), world.links(spark, sf).where("to_id % 4 = 0"))
 
 
 # --- text, index and retrieval
@@ -457,10 +456,19 @@ def query_tokens(spark, sf):
     return world.query_log(spark, sf).select("query_id", shown(T.query_tokens(asked), " ").alias("tokens"))
 
 
+def _with_synonyms(spark, sf):
+    return world.query_log(spark, sf).withColumn("query", F.concat("query", F.lit(" lectures pull request class hw the pr")))
+
+
+@query
+def match_string(spark, sf):
+    groups = T.query_groups(T.query_tokens(F.col("query")))
+    return _with_synonyms(spark, sf).select("query_id", T.match_string(groups).alias("match"))
+
+
 @query
 def query_atoms(spark, sf):
-    asked = world.query_log(spark, sf).withColumn("query", F.concat("query", F.lit(" lectures")))
-    return index.query_atoms(asked).select("query_id", "group_no", "atom_no", "kind", shown("words", " ").alias("words"))
+    return index.query_atoms(_with_synonyms(spark, sf)).select("query_id", "group_no", "atom_no", "kind", shown("words", " ").alias("words"))
 
 
 def _doc_index(spark, sf):
@@ -730,12 +738,44 @@ def crawl_run(spark, sf):
     def fetch(url):
         if int("".join(c for c in url if c.isdigit()) or 0) % 2:
             raise ConnectionError(url)
-        return 200, "text/html", url, f"<title>{url}</title>"
+        return 200, "text/html", url, f"<title>{url.partition('?')[0]}</title>"
 
     wanted = crawl.budgeted(crawl.frontier(_targets(spark, sf), world.pages(spark, sf), NOW)).select("url").distinct()
     return crawl.recorded(crawl.fetched(wanted, fetch), world.pages(spark, sf), NOW).select("url", "fetch_status", "title")
 
 
+def _link_jobs(spark, sf):
+    """A crawl job for each page with links, with all of its links; the payload of every tenth is broken."""
+    rows = world.html_links(spark, sf).groupBy(F.col("page_id").alias("job_id"), "url").agg(F.array_sort(F.collect_list(F.struct("link_seq", "href", "anchor"))).alias("all"))
+    links = F.transform("all", lambda x: F.array(x["href"], x["anchor"], F.lit("row")))
+    payload = F.when(F.col("job_id") % 10 == 0, F.lit("broken")).otherwise(F.to_json(F.struct("url", links.alias("links"))))
+    return rows.select("job_id", payload.alias("payload"))
+
+
+@query
+def crawl_counts(spark, sf):
+    def fetch(url):
+        return 200, "text/plain", url, None
+
+    return crawl.run_jobs(_link_jobs(spark, sf), world.pages(spark, sf), world.places(spark, sf), NOW, fetch, delay_s=0.0)["counts"]
+
+
+@query
+def job_keys(spark, sf):
+    rows = world.job_events(spark, sf).where("what = 'post'")
+    payload = F.when(F.col("job_id") % 3 == 0, F.lit("{}")).otherwise(F.concat(F.lit('{"url": "u'), "job_id", F.lit('"}')))
+    made = jobs.with_key(payload, F.when(F.col("job_id") % 4 != 0, F.col("key")))
+    return rows.select("event_id", made.alias("payload"), jobs.payload_key(made).alias("key"))
+
+
+@query
+def upsert_meta(spark, sf):
+    pages = world.raw_pages(spark, sf)
+    old = pages.select(F.concat(F.lit("k"), "page_id").alias("key"), F.lit("old").alias("value"))
+    new = pages.where("page_id % 3 = 0").select(F.concat(F.lit("k"), F.col("page_id") * 2).alias("key"), F.lit("new").alias("value"))
+    return store.upsert(old, new, ["key"], ["value"])
+
+
 @query
 def robots_policy(spark, sf):
     i = F.col("page_id")
@@ -748,6 +788,19 @@ def robots_policy(spark, sf):
 # --- streaming
 
 
+@query
+def page_captures(spark, sf):
+    """Two readings into each visit: the first has no text on two of three."""
+    from ..streaming.visits import captures
+
+    rows = world.events(spark, sf)
+    visits = world.visits(spark, sf).select("user_id", "url", F.col("ts_s").alias("start_s"), (F.col("duration_s") % 40).alias("duration_s"))
+    seen = visits.join(rows.select("user_id", F.col("ts_s").alias("start_s"), "k"), ["user_id", "start_s"])
+    said = lambda after, text: seen.select("user_id", (F.col("start_s") + after).alias("ts_s"), "url", text.alias("text"))
+    texts = said(2.0, F.lit("too early")).union(said(4.0, F.when(F.col("k") % 3 == 0, F.lit("first")).otherwise(F.lit("")))).union(said(9.0, F.lit("between"))).union(said(16.0, F.lit("second")))
+    return captures(visits, texts).select("user_id", "url", F.round("start_s", 3).alias("start_s"), "turn", F.round(F.col("ts_s") - F.col("start_s"), 3).alias("after"), "text")
+
+
 @query
 def stream_visits(spark, sf):
     """The ticks as a stream, drained."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.text import SYNONYMS
+
 NOW = 1706659200.0
 SQL: dict[str, str] = {}
 
@@ -229,8 +231,20 @@ add("url_relation", HL, f"""SELECT page_id, link_seq, CASE WHEN {origin('target'
   WHEN starts_with({path('target')}, {directory('url')}) AND {path('target')} <> {path('url')} THEN 'deeper' ELSE 'sideways' END AS relation FROM hl""")
 add("html_title", PG, "SELECT page_id, title FROM pg")
 add("html_headings", PG, "SELECT page_id, array_to_string(headings, ' | ') AS headings, len(headings) AS n FROM pg")
-add("html_links", HL, "SELECT page_id, link_seq, target, anchor FROM hl")
+# of the pages' links, all stand alone in a list item: the item says no more than they do
+add("html_links", HL, "SELECT page_id, link_seq, target, anchor, '' AS context FROM hl")
 add("html_snippet", PG, "SELECT page_id, snippet FROM pg")
+# pages have paragraphs, which end where the next begins, and boxes without any; what stands in menus does not count
+_shown = "regexp_extract(html, '(?s)<body>(.*)', 1)"
+for _t in ("nav", "header", "footer", "aside", "form", "script", "style"):
+    _shown = f"regexp_replace({_shown}, '(?s)<{_t}[ >].*?</{_t}>', ' ', 'g')"
+_text = lambda x: squeeze(unescape(f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"))
+OUT = f"""ou0 AS (SELECT page_id, regexp_replace({_shown}, '(?s)<!--.*?-->', ' ', 'g') AS b FROM pages),
+ou1 AS (SELECT page_id, b, list_filter(list_transform(regexp_extract_all(b, '(?s)<h[123]>(.*?)</h[123]>', 1), lambda x: left({_text('x')}, 120)), lambda x: x <> '') AS hs,
+  list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(b, '<p>', '</p><p>', 'g'), '</?(article|div|body)[^>]*>', '</p>', 'g'), '(?s)<p>(.*?)</p>', 1), lambda x: {_text('x')}), lambda x: len(string_split(x, ' ')) >= 5) AS ps,
+  list_filter(list_transform(regexp_extract_all(b, '(?s)<div[^>]*>([^<]*)</div>', 1), lambda x: {_text('x')}), lambda x: len(string_split(x, ' ')) >= 5) AS ds FROM ou0)"""
+add("page_outline", OUT, """SELECT page_id, array_to_string(hs, ' | ') AS headings, array_to_string(list_transform(CASE WHEN len(ps) > 0 THEN ps[:2] ELSE ds[:6] END, lambda x: left(x, 300)), ' … ') AS blocks,
+  len(regexp_extract_all(b, '<a href="')) AS n_links FROM ou1""")
 add("compose_snippet", PG, f"""SELECT page_id, left(concat_ws(' | ', CASE WHEN title <> '' THEN 'Description: ' || title END,
   CASE WHEN page_id % 2 = 0 THEN 'Breadcrumb: ' || {host('url')} END, nullif(array_to_string(headings, ' | '), '')), 1000) AS snippet FROM pg""")
 add("clip_text", PG, f"SELECT page_id, {clip('title', 20)} AS clipped FROM pg")
@@ -396,19 +410,27 @@ add("page_description", f"{PL}, {LT}, {SITE}, {LABEL}", f"""SELECT page_id, site
 # --- names
 
 SEP = "\\s+[–—|·•-]\\s+"
-TT = f"""{LK}, tt AS (SELECT page_id, 'https://site' || (page_id % 5) || '.example/p/' || page_id AS url, 'site' || (page_id % 5) || '.example' AS host,
-  CASE WHEN page_id % 6 = 0 THEN '' WHEN page_id % 3 = 0 THEN '(' || page_id || ') ' || title || ' – Site Name' WHEN page_id % 3 = 1 THEN 'Home · Site Name' ELSE title END AS title, headings FROM pg),
+TITLED = """SELECT page_id, 'https://site' || (page_id % 5) || '.example/p/' || page_id AS url, 'site' || (page_id % 5) || '.example' AS host,
+  CASE WHEN page_id % 6 = 0 THEN '' WHEN page_id % 3 = 0 THEN '(' || page_id || ') ' || title || ' – Site Name' WHEN page_id % 3 = 1 THEN 'Home · Site Name' ELSE title END AS title, headings FROM pg"""
+
+
+def cleaned(pages: str) -> str:
+    """ct: pages with their clean titles; sf: suffixes of sites; gt: titles that several pages of a site have."""
+    tt = f"""{LK}, tt AS ({pages}),
 t2 AS (SELECT *, trim(regexp_replace({squeeze('title')}, '\\s*\\([0-9][0-9,]*\\)', '', 'g')) AS plain FROM tt),
 sf AS (SELECT host, suffix, count(*) AS n FROM (SELECT DISTINCT host, plain, lower(string_split_regex(plain, '{SEP}')[-1]) AS suffix FROM t2 WHERE title <> '' AND regexp_matches(plain, '{SEP}')) GROUP BY 1, 2 HAVING count(*) >= 3)"""
-# endings are dropped one after the other; more than four do not occur
-_steps = ["c0 AS (SELECT *, plain AS clean FROM t2)"]
-for _i in range(4):
-    _end = f"lower(string_split_regex(clean, '{SEP}')[-1])"
-    _steps.append(
-        f"""c{_i + 1} AS (SELECT * REPLACE (CASE WHEN regexp_matches(clean, '{SEP}') AND EXISTS (SELECT 1 FROM sf s WHERE s.host = c.host AND s.suffix = {_end})
-  THEN regexp_replace(left(clean, length(clean) - length({_end})), '[ –—|·•-]+$', '') ELSE clean END AS clean) FROM c{_i} c)"""
-    )
-CT = ",\n".join([TT, *_steps, "ct AS (SELECT * REPLACE (trim(clean) AS clean) FROM c4)", "gt AS (SELECT host, lower(clean) AS lowered, count(*) AS n FROM ct WHERE title <> '' GROUP BY 1, 2 HAVING count(*) >= 2)"])
+    # endings are dropped one after the other; more than four do not occur
+    steps = ["c0 AS (SELECT *, plain AS clean FROM t2)"]
+    for i in range(4):
+        end = f"lower(string_split_regex(clean, '{SEP}')[-1])"
+        steps.append(
+            f"""c{i + 1} AS (SELECT * REPLACE (CASE WHEN regexp_matches(clean, '{SEP}') AND EXISTS (SELECT 1 FROM sf s WHERE s.host = c.host AND s.suffix = {end})
+  THEN regexp_replace(left(clean, length(clean) - length({end})), '[ –—|·•-]+$', '') ELSE clean END AS clean) FROM c{i} c)"""
+        )
+    return ",\n".join([tt, *steps, "ct AS (SELECT * REPLACE (trim(clean) AS clean) FROM c4)", "gt AS (SELECT host, lower(clean) AS lowered, count(*) AS n FROM ct WHERE title <> '' GROUP BY 1, 2 HAVING count(*) >= 2)"])
+
+
+CT = cleaned(TITLED)
 add("site_suffixes", CT, "SELECT host, suffix, n FROM sf")
 add("clean_title", CT, "SELECT page_id, clean FROM ct")
 add("generic_titles", CT, "SELECT host, lowered, n FROM gt")
@@ -426,6 +448,9 @@ nm AS (SELECT c.url, coalesce(left(list_filter(al, lambda a: a <> '' AND NOT reg
 
 
 add("page_names", f"{CT}, {named('ct', 'to_id % 4 = 0')}", "SELECT url, name FROM nm")
+OWN = f"SELECT page_id, url, {bare('url')} AS host, title, headings FROM pg"
+add("changed_names", f"{cleaned(OWN)}, {named('ct', 'TRUE')}", """SELECT n.url, n.name FROM nm n LEFT JOIN (SELECT url, CASE WHEN page_id % 2 = 0 THEN title END AS was FROM pg) o USING (url)
+  WHERE n.name <> '' AND n.name IS DISTINCT FROM o.was""")
 
 # --- text, index and retrieval
 
@@ -441,7 +466,20 @@ def atoms(queries: str, name: str) -> str:
 {name} AS (SELECT query_id, group_no, 0 AS atom_no, CASE WHEN length(w) < 3 THEN 'term' ELSE 'prefix' END AS kind, CASE WHEN length(w) >= 3 AND {plural} THEN left(w, length(w) - 1) ELSE w END AS word FROM {name}_w)"""
 
 
-add("query_atoms", f"{PK}, qx AS (SELECT query_id, query || ' lectures' AS query FROM ql), {atoms('qx', 'at_')}", "SELECT query_id, group_no, atom_no, kind, word AS words FROM at_")
+SYN = ", ".join(f"({g}, {i}, '{w}')" for g, group in enumerate(SYNONYMS) for i, w in enumerate(group))
+GROUPS = f"""{PK}, sy AS (SELECT * FROM (VALUES {SYN}) t(g, i, w)),
+gq AS (SELECT query_id, {query_tokens("query || ' lectures pull request class hw the pr'")} AS ts FROM ql),
+gw AS (SELECT query_id, unnest(generate_series(1, len(ts))) AS i, ts FROM gq),
+gp AS (SELECT *, ts[i] || ' ' || ts[i + 1] IN (SELECT w FROM sy) IS TRUE AS two FROM gw),
+gt_ AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS group_no, CASE WHEN two THEN ts[i] || ' ' || ts[i + 1] ELSE ts[i] END AS term
+  FROM (SELECT *, coalesce(lag(two) OVER (PARTITION BY query_id ORDER BY i), FALSE) AS taken FROM gp) WHERE NOT taken),
+ge AS (SELECT query_id, group_no, -1 AS i, term AS t FROM gt_ UNION ALL SELECT query_id, group_no, o.i, o.w FROM gt_ JOIN sy s ON s.w = term JOIN sy o ON o.g = s.g AND o.w <> term),
+ga AS (SELECT query_id, group_no, i, CASE WHEN contains(t, ' ') THEN 'phrase' WHEN length(t) < 3 THEN 'term' ELSE 'prefix' END AS kind,
+  CASE WHEN length(t) >= 4 AND NOT contains(t, ' ') AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, length(t) - 1) ELSE t END AS words FROM ge),
+gd AS (SELECT query_id, group_no, kind, words, min(i) AS i FROM ga GROUP BY ALL)"""
+add("query_atoms", GROUPS, "SELECT query_id, group_no, row_number() OVER (PARTITION BY query_id, group_no ORDER BY i) - 1 AS atom_no, kind, words FROM gd")
+add("match_string", GROUPS, """SELECT query_id, string_agg('"' || words || CASE WHEN kind = 'prefix' THEN '"*' ELSE '"' END, ' OR ' ORDER BY group_no, i) AS match FROM gd GROUP BY 1
+  UNION ALL SELECT query_id, '' FROM gq WHERE len(ts) = 0""")
 
 
 def posts(rows: str, name: str) -> str:
@@ -456,6 +494,8 @@ PR = f"""{LT}, fld AS (SELECT page_id AS doc_id, unnest(['title', 'anchors', 'co
   unnest([title, coalesce(lt.anchors, ''), coalesce(lt.contexts, ''), array_to_string(headings, ' '), snippet, {_w}]) AS text FROM pg LEFT JOIN lt USING (page_id)),
 {posts('fld', 'pp')}"""
 add("fts_postings", f"{LK}, {PR}", "SELECT doc_id, field, pos, token FROM pp")
+# the odd pages keep the title that was indexed before
+add("fts_incremental", f"{LK}, {PR}".replace("unnest([title,", "unnest([CASE WHEN page_id % 2 = 0 THEN title ELSE 'stale' END,"), "SELECT doc_id, field, pos, token FROM pp")
 
 
 def matched(p: str, a: str, name: str) -> str:
@@ -517,25 +557,29 @@ add("lookalike_collapse", f"{PG}, lc0 AS (SELECT page_id % 3 AS query_id, page_i
 WEIGHT = "CASE field WHEN 'title' THEN 2.5 WHEN 'anchors' THEN 3.0 WHEN 'contexts' THEN 1.5 WHEN 'headings' THEN 1.0 WHEN 'snippet' THEN 0.7 ELSE 0.5 END"
 
 
-def retrieved(queries: str, picks: str) -> str:
-    """picks: query_id, page_id, n_picks."""
+def retrieved(queries: str, picks: str, cases: str | None = None) -> str:
+    """picks: query_id, page_id, n_picks. cases: case_id, query_id, hidden - the page that one pick is taken from."""
     hits = alias_hits(queries)
+    n = "b.n_picks" + (" - (c.hidden = b.page_id)::INT" if cases else "")
     return f"""{PR}, {RV}, {RECENT}, {hits}, {atoms(queries, 'ra')}, pd AS (SELECT page_id AS doc_id FROM pg), {ranked('pp', 'ra', 'pd', WEIGHT, 'rk')},
-rs AS (SELECT m.query_id, g.page_id, g.url, coalesce(k.n_picks, 0) AS n_picks,
-  round((m.bm25 + 2.0 * m.covered) * (0.5 + g.rv) * (1 + coalesce(k.n_picks, 0)) * CASE WHEN b.page_id IS NOT NULL THEN 3.0 ELSE 1.0 END, 6) AS score
+rb AS (SELECT m.query_id, g.page_id, g.url, coalesce(k.n_picks, 0) AS n_picks, (m.bm25 + 2.0 * m.covered) * (0.5 + g.rv) AS base, CASE WHEN b.page_id IS NOT NULL THEN 3.0 ELSE 1.0 END AS boost
   FROM rk m JOIN rv g ON g.page_id = m.doc_id JOIN rc USING (page_id) LEFT JOIN ({picks}) k ON k.query_id = m.query_id AND k.page_id = g.page_id
   LEFT JOIN ab b ON b.query_id = m.query_id AND b.page_id = g.page_id WHERE coalesce(g.status, '') <> 'hub'),
+rs AS (SELECT {'c.case_id' if cases else 'b.query_id'} AS query_id, b.page_id, b.url, {n} AS n_picks, round(b.base * (1 + {n}) * b.boost, 10) AS score FROM rb b{f' JOIN {cases} c USING (query_id)' if cases else ''}),
 {collapsed('rs', 200, 'rt')}"""
 
 
-_past = f"SELECT query_id, page_id, count(*) AS n_picks FROM qs JOIN ps_ ON {_applies} GROUP BY 1, 2"
+_past = f"SELECT query_id, page_id, sum(n) AS n_picks FROM (SELECT query_id, a FROM qs) q JOIN (SELECT b, page_id, count(*) AS n FROM ps_ GROUP BY 1, 2) p ON {_applies} GROUP BY 1, 2"
 RET = f"{PK}, {PICKS}, {retrieved('ql', _past)}"
-add("retrieve", RET, "SELECT query_id, rank, page_id, round(score, 4) AS score, n_picks FROM rt")
+add("retrieve", RET, "SELECT query_id, rank, page_id, round(score, 4) AS score, n_picks::BIGINT AS n_picks FROM rt")
 add("search", RET, "SELECT query_id, rank AS place, page_id FROM rt WHERE rank <= 5")
-_loo = f"SELECT q.pick_id AS query_id, p.page_id, count(*) AS n_picks FROM (SELECT pick_id, b AS a FROM ps_) q JOIN ps_ p ON p.pick_id <> q.pick_id AND {_applies} GROUP BY 1, 2"
-EVAL = f"""{PK}, {PICKS}, lq AS (SELECT pick_id AS query_id, query FROM pk), {retrieved('lq', _loo)},
+# each distinct query is searched once, and ranked once for each page that was picked for it
+EVAL = f"""{PK}, ps_ AS (SELECT pick_id, page_id, {_set('query')} AS b FROM pk), lq AS (SELECT row_number() OVER () AS query_id, query FROM (SELECT DISTINCT query FROM pk)),
+qs AS (SELECT query_id, {_set('query')} AS a FROM lq), lc_ AS (SELECT row_number() OVER () AS case_id, query_id, query, page_id AS hidden FROM (SELECT DISTINCT query, page_id FROM pk) JOIN lq USING (query)),
+{retrieved('lq', _past, 'lc_')},
 ev5 AS (SELECT query_id, arg_min(page_id, rank) AS got, list(page_id) AS five FROM rt WHERE rank <= 5 GROUP BY 1),
-ec AS (SELECT pick_id AS case_id, page_id AS picked, got, coalesce(got = page_id, FALSE) AS hit1, coalesce(list_contains(five, page_id), FALSE) AS hit5 FROM pk LEFT JOIN ev5 ON query_id = pick_id)"""
+ec AS (SELECT pick_id AS case_id, page_id AS picked, got, coalesce(got = page_id, FALSE) AS hit1, coalesce(list_contains(five, page_id), FALSE) AS hit5
+  FROM pk JOIN lc_ c ON c.query = pk.query AND c.hidden = pk.page_id LEFT JOIN ev5 ON ev5.query_id = c.case_id)"""
 add("eval_loo", EVAL, "SELECT * FROM ec")
 add("eval_summary", EVAL, "SELECT count(*) AS cases, round(avg(hit1::INT), 2) AS top1, round(avg(hit5::INT), 2) AS top5, count(*) FILTER (NOT hit1) AS misses FROM ec")
 
@@ -576,5 +620,19 @@ REPLY = f"""rp AS (SELECT page_id, url, title, headings, snippet, visited, CASE
 add("crawl_fetch_join", f"{FT}, {REPLY}", "SELECT f.url, coalesce(r.status, 0) AS status, coalesce(r.page_id % 9 >= 4, FALSE) AS has_body FROM (SELECT DISTINCT url FROM ft) f LEFT JOIN rp r USING (url)")
 add("crawl_record", f"{PG}, {REPLY}", """SELECT url, CASE WHEN page_id % 9 = 4 THEN 401 ELSE status END AS fetch_status, CASE WHEN page_id % 9 >= 5 THEN 'html' WHEN page_id % 9 = 2 THEN 'pdf' WHEN page_id % 9 = 3 THEN 'file' END AS kind,
   CASE WHEN page_id % 9 >= 5 AND NOT (visited AND snippet <> '') THEN title END AS title, CASE WHEN page_id % 9 >= 5 AND NOT (visited AND snippet <> '') THEN len(headings) ELSE 0 END AS n_headings FROM rp""")
+add("crawl_run", FT, """SELECT url, CASE WHEN odd THEN 0 ELSE 200 END AS fetch_status, CASE WHEN NOT odd THEN split_part(url, '?', 1) END AS title
+  FROM (SELECT DISTINCT url, regexp_extract(url, '([0-9])[^0-9]*$', 1) IN ('1', '3', '5', '7', '9') AS odd FROM
+  (SELECT url, row_number() OVER (PARTITION BY from_url ORDER BY relation <> 'deeper', link_seq, url) AS turn FROM ft) WHERE turn <= 50)""")
+_own = f"{HL}, tg AS (SELECT page_id AS job_id, url AS from_url, target AS url, min(link_seq) AS link_seq FROM hl WHERE page_id % 10 <> 0 AND target <> url GROUP BY ALL)"
+add("crawl_counts", FT.replace(TG, _own), """SELECT (SELECT count(DISTINCT page_id) FROM hl) AS jobs, (SELECT count(DISTINCT page_id) FROM hl WHERE page_id % 10 = 0) AS failed,
+  (SELECT count(DISTINCT url) FROM (SELECT url, row_number() OVER (PARTITION BY from_url ORDER BY relation <> 'deeper', link_seq, url) AS turn FROM ft) WHERE turn <= 50) AS fetched,
+  (SELECT count(DISTINCT url) FROM tg WHERE url NOT IN (SELECT url FROM pg)) AS discovered""")
+add("job_keys", EV, """SELECT event_id, CASE WHEN k % 4 = 0 THEN bare ELSE regexp_replace(bare, '\\}$', '') || CASE WHEN bare = '{}' THEN '' ELSE ',' END || '"_key":"' || key || '"}' END AS payload, CASE WHEN k % 4 <> 0 THEN key END AS key
+  FROM (SELECT event_id, k, 'key' || (k % 20) AS key, CASE WHEN k % 3 = 0 THEN '{}' ELSE '{"url": "u' || k || '"}' END AS bare FROM ev WHERE event_type = 'error')""")
+SQL["upsert_meta"] = """SELECT key, coalesce(n.value, o.value) AS value FROM (SELECT 'k' || page_id AS key, 'old' AS value FROM pages) o
+  FULL JOIN (SELECT 'k' || page_id * 2 AS key, 'new' AS value FROM pages WHERE page_id % 3 = 0) n USING (key)"""
+add("page_captures", V, """SELECT user_id, url, round(ts_s, 3) AS start_s, t.turn, t.after, t.text
+  FROM (SELECT v.*, v.duration_s % 40 AS d, k FROM v JOIN ev USING (event_id)), (VALUES (0, 4.0::DOUBLE, 'first'), (1, 16.0::DOUBLE, 'second')) n(turn, after, said),
+  LATERAL (SELECT n.turn, n.after, CASE WHEN n.turn = 0 AND k % 3 <> 0 THEN '' ELSE n.said END AS text) t WHERE d >= t.after AND (t.turn = 0 OR k % 3 <> 0)""".replace("v.*, v", "v.user_id, v.url, v.ts_s, v"))
 SQL["robots_policy"] = "SELECT page_id, page_id % 7 = 3 OR (page_id % 7 = 0 AND page_id % 2 = 1) AS allowed FROM pages"
 SQL["stream_visits"] = SQL["sessionize"] + " WHERE (user_id, run) NOT IN (SELECT (user_id, max(run)) FROM g GROUP BY user_id)"

@@ -1,35 +1,61 @@
 """Snapshots of relations as Parquet folders, and writing to them by key.
 
-A relation's current version is named in its CURRENT file, which is replaced after the new version is complete: a
-reader sees the old version or the new one, and a failed write leaves the old.
+A commit is one file that names the current folder of every relation. It gets the next number, and appears whole and at
+once, by a rename to a name that does not exist yet: a reader sees all relations as they were before or as they are
+after, and a crash at any point leaves the last commit. Who loses the race for a number reads the winner's commit and
+takes the next, as long as the winner wrote other relations; else the write is refused.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import file_system, hadoop_path
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed one of the same relations since this one began."""
+
 
 class Catalog:
-    """Relations under a root folder of any file system that Spark can reach."""
+    """Relations under a root folder of any file system that Spark can reach and that renames files atomically."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        self.fs = file_system(spark, self.root)
+
+    def _path(self, *parts: str):
+        return hadoop_path(self.spark, "/".join((self.root, *parts)))
+
+    def commits(self) -> list[int]:
+        """Numbers of all commits."""
+        if not self.fs.exists(self._path("commits")):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self._path("commits"))]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def manifest(self) -> tuple[int, dict[str, str]]:
+        """Number of the last commit (-1: none), and each relation's folder."""
+        found = self.commits()
+        if not found:
+            return -1, {}
+        stream = self.fs.open(self._path("commits", f"{found[-1]:012d}.json"))
+        try:
+            raw = bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+        return found[-1], json.loads(raw)
 
     def version(self, name: str) -> str | None:
-        fs, path = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(path.toString()).first()[0]
+        return self.manifest()[1].get(name)
 
     def read(self, name: str, schema: str | None = None) -> DataFrame:
+        """The relation as of the last commit. One that was never written is empty, if a schema is given."""
         version = self.version(name)
         if version is None:
             if schema is None:
@@ -40,22 +66,48 @@ class Catalog:
     def write(self, name: str, df: DataFrame) -> None:
         self.write_all({name: df})
 
-    def write_all(self, relations: dict[str, DataFrame]) -> None:
-        """All or none: every version is written before the first becomes current."""
+    def write_all(self, relations: dict[str, DataFrame], before_commit: Callable[[], None] | None = None) -> int:
+        """All or none: every relation is written before one commit makes all of them current. Returns its number."""
+        _, began = self.manifest()
         done = {}
         for name, df in relations.items():
-            version = uuid.uuid4().hex
-            df.write.parquet(f"{self.root}/{name}/{version}")
-            done[name] = version
-        for name, version in done.items():
-            fs, temp = self._fs(f"{self.root}/{name}/.{version}")
-            out = fs.create(temp, True)
-            out.write(bytearray(version.encode()))
-            out.close()
-            _, current = self._fs(f"{self.root}/{name}/CURRENT")
-            if fs.exists(current):
-                fs.delete(current, False)
-            fs.rename(temp, current)
+            done[name] = uuid.uuid4().hex
+            df.write.parquet(f"{self.root}/{name}/{done[name]}")
+        if before_commit:
+            before_commit()
+        self.fs.mkdirs(self._path("commits"))
+        while True:
+            number, now = self.manifest()
+            if taken := [n for n in done if now.get(n) != began.get(n)]:
+                raise Conflict(f"written by another: {', '.join(taken)}")
+            if self._commit(number + 1, now | done):
+                return number + 1
+
+    def _commit(self, number: int, manifest: dict[str, str]) -> bool:
+        """False if the number is taken."""
+        target, temp = self._path("commits", f"{number:012d}.json"), self._path("commits", f".{uuid.uuid4().hex}")
+        out = self.fs.create(temp, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if not self.fs.exists(target) and self.fs.rename(temp, target):
+            return True
+        self.fs.delete(temp, False)
+        return False
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes commits but the last `keep`, and folders that none of those names. Not while others write."""
+        found = self.commits()
+        last = set()
+        for number in found[-keep:]:
+            stream = self.fs.open(self._path("commits", f"{number:012d}.json"))
+            last |= {*json.loads(bytes(stream.readAllBytes())).items()}
+            stream.close()
+        for number in found[:-keep]:
+            self.fs.delete(self._path("commits", f"{number:012d}.json"), False)
+        for name in {n for n, _ in last}:
+            for f in self.fs.listStatus(self._path(name)):
+                if (name, f.getPath().getName()) not in last:
+                    self.fs.delete(f.getPath(), True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], columns: list[str], defaults: dict[str, Column] | None = None) -> DataFrame:
