@@ -20,7 +20,7 @@ def _star(edges: DataFrame) -> DataFrame:
     return joined.select("a", "b", F.least("a", "m").alias("m"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """node, component (its smallest node) for every node that has an edge. edges: a, b longs, in either direction,
     repeats and loops allowed. An error, if the edges have not settled after `rounds`."""
     one = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

@@ -10,6 +10,7 @@ below it, once these exceed the distance. Groups hand on a forest of links, not
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ SEED = 42
 FAN = 8
 #: Pairs of a query and a node that are looked at together.
 FRONTIER = 1 << 21
+#: Fingerprints of a group that meet in one place; of a larger group, each two parts meet in a place of their own.
+MOST = 1 << 15
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -206,18 +209,24 @@ def block_keys(fp: Column, blocks: int, agree: int) -> Column:
     return F.array(*keys)
 
 
-def linked(nodes: DataFrame, distance: int = 4, shuffle_rows: int = 1 << 20) -> DataFrame:
+def linked(nodes: DataFrame, distance: int = 4, shuffle_rows: int = 1 << 20, most: int = MOST) -> DataFrame:
     """Edges a, b that connect every two nodes (fp distinct, id) of at most `distance` differing bits, directly or by
-    way of others. The more nodes, the more bits must agree, so that a group stays at about a hundred."""
+    way of others. The more nodes, the more bits must agree, so that a group stays at about a hundred; groups that
+    stay large all the same, as their fingerprints are not spread, are cut into parts of about `most` nodes."""
     n = nodes.count()
     for blocks in range(distance + 1, 3 * distance + 1):
         agree = blocks - distance
         if n / 2 ** (64 * agree / blocks) <= 128:
             break
     keyed = nodes.select("id", "fp", F.explode(block_keys(F.col("fp"), blocks, agree)).alias("key"))
+    keyed = keyed.select("id", "fp", F.xxhash64("key.choice", "key.bits").alias("key"))
+    large = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "simhash-large")
+    cut = keyed.join(large, "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / most), F.lit(1)))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id", "key"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    place = F.when(F.col("parts") > 1, F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("key"))
     spark = nodes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * 5 // shuffle_rows)
-    keyed = keyed.select("id", "fp", F.xxhash64("key.choice", "key.bits").alias("key")).repartition(parts, "key")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * comb(blocks, agree) // shuffle_rows)
+    keyed = cut.select("id", "fp", place.alias("key")).repartition(parts, "key")
 
     def run(batches):
         held = [b for b in batches if b.num_rows]
@@ -234,15 +243,15 @@ def linked(nodes: DataFrame, distance: int = 4, shuffle_rows: int = 1 << 20) ->
     return keyed.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k: int = 4, distance: int = 4, **how) -> DataFrame:
     """doc_id, fp, component_id (smallest id reachable over links) for each row of docs.
 
     Texts without words have fingerprint 0 and are linked like any other; repeated rows have equal fingerprints;
-    null ids belong to the component of their fingerprint but never name it.
+    null ids belong to the component of their fingerprint but never name it. An error, if the components do not settle.
     """
     rows = written(fingerprints(docs, text, doc_id, k), "simhash")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "simhash-nodes")
-    found = components(linked(nodes, distance))
+    found = components(linked(nodes, distance, **how))
     named = nodes.join(found, nodes["id"] == found["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
