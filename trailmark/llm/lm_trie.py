@@ -37,7 +37,7 @@ DISCOUNT, STEP = 0.75, 0.05
 #: Probability of each code.
 VALUE = 10.0 ** (-STEP * np.arange(256))
 #: Tokens that a task counts together; tokens that a shard of pairs stands for; bytes of text at once.
-HELD, SHARD_TOKENS, PIECE = 5 << 19, 1 << 21, 1 << 22
+HELD, SHARD_TOKENS, PIECE = 3 << 19, 1 << 20, 1 << 21
 #: Bytes of text whose words are a shard of level 1.
 SHARD_TEXT = 64 << 20
 
