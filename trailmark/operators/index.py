@@ -59,13 +59,19 @@ def query_atoms(queries: DataFrame) -> DataFrame:
     return grouped.select("query_id", "group_no", F.posexplode("atoms").alias("atom_no", "atom")).select("query_id", "group_no", "atom_no", "atom.kind", "atom.words")
 
 
-def hits(posts: DataFrame, atoms: DataFrame) -> DataFrame:
-    """kind, words, doc_id, field, pos: where each distinct atom is found; a phrase within one field."""
+def token_heads(posts: DataFrame) -> DataFrame:
+    """token, head: the distinct tokens and their first three letters."""
+    return posts.select("token").distinct().withColumn("head", F.left("token", F.lit(3)))
+
+
+def hits(posts: DataFrame, atoms: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """kind, words, doc_id, field, pos: where each distinct atom is found; a phrase within one field. tokens: as from
+    token_heads(posts), if it is stored."""
+    tokens = token_heads(posts) if tokens is None else tokens
     wanted = atoms.select("kind", "words").distinct()
     first = F.try_element_at("words", F.lit(1))
     exact = wanted.where("kind = 'term'").select("kind", "words", first.alias("token"))
     starts = wanted.where("kind = 'prefix'").select("kind", "words", first.alias("start"), F.left(first, F.lit(3)).alias("head"))
-    tokens = posts.select("token").distinct().withColumn("head", F.left("token", F.lit(3)))
     begun = tokens.join(starts, "head").where(F.startswith("token", F.col("start"))).select("kind", "words", "token")
     single = posts.join(exact.union(begun), "token").select("kind", "words", "doc_id", "field", "pos")
     phrases = wanted.where("kind = 'phrase'").select("kind", "words", F.size("words").alias("n"), F.posexplode("words").alias("i", "token"))

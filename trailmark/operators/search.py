@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
@@ -38,29 +38,36 @@ def alias_places(queries: DataFrame, places: DataFrame) -> DataFrame:
     return whole.union(of_query.join(of_place, "word").select("query_id", "place_id")).distinct()
 
 
+class PastPicks:
+    """Past picks (pick_id, query, page_id) by the distinct sets of their queries' words, for looking up what applies.
+
+    A word set lies in another only if its rarest word is in the other, so each meets the others by that one word, and
+    is then compared; common words bring nothing together."""
+
+    def __init__(self, picks: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled):
+        rows = keep(picks.select("page_id", _word_set().alias("past")).where(F.size("past") > 0).groupBy("past", "page_id").agg(F.count(F.lit(1)).alias("n")))
+        self.per = rows
+        self.words = keep(rows.select("past").distinct().select("past", F.explode("past").alias("w")))
+        self.common = keep(self.words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+        self.rarest = keep(self.words.join(self.common, "w").groupBy("past").agg(F.min_by("w", F.struct("n", "w")).alias("w")))
+
+    def applicable(self, queries: DataFrame) -> DataFrame:
+        """query_id, page_id, n_picks: past picks whose query's words are all in the query, or the other way round."""
+        asked = queries.select("query_id", _word_set().alias("tokens")).where(F.size("tokens") > 0)
+        mine = asked.select("tokens").distinct().select("tokens", F.explode("tokens").alias("w"))
+        own = mine.join(self.common, "w", "left").groupBy("tokens").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
+        wider = own.join(self.words, "w").where(F.size(F.array_except("tokens", "past")) == 0)
+        narrower = mine.join(self.rarest, "w").where(F.size(F.array_except("past", "tokens")) == 0)
+        alike = wider.select("tokens", "past").union(narrower.select("tokens", "past")).distinct()
+        return asked.join(alike, "tokens").join(self.per, "past").groupBy("query_id", "page_id").agg(F.sum("n").alias("n_picks"))
+
+
+def _word_set() -> Column:
+    return F.array_sort(F.array_distinct(T.query_tokens(F.col("query"))))
+
+
 def applicable_picks(queries: DataFrame, picks: DataFrame) -> DataFrame:
-    """query_id, page_id, n_picks: past picks whose query's words are all in the query, or the other way round.
-
-    A word set lies in another only if its rarest word (among all sets) is in the other, so each meets the others by
-    that one word, and is then compared; common words bring nothing together. Sets are distinct, however often the same
-    words were typed."""
-    tokens = F.array_sort(F.array_distinct(T.query_tokens(F.col("query"))))
-    asked = settled(queries.withColumn("tokens", tokens).where(F.size("tokens") > 0))
-    past = settled(picks.withColumn("past", tokens).where(F.size("past") > 0))
-    sets = settled(asked.select("tokens").union(past.select(F.col("past").alias("tokens"))).distinct())
-    words = sets.select("tokens", F.explode("tokens").alias("w"))
-    common = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    rarest = words.join(common, "w").groupBy("tokens").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    mine, theirs = asked.select("tokens").distinct(), past.select("past").distinct()
-    of = lambda rows, c: rows.join(rarest.withColumnRenamed("tokens", c), c)
-    every = lambda rows, c: rows.select(c, F.explode(c).alias("w"))
-    inside = F.size(F.array_except("tokens", "past")) == 0
-    around = F.size(F.array_except("past", "tokens")) == 0
-    alike = of(mine, "tokens").join(every(theirs, "past"), "w").where(inside).union(every(mine, "tokens").join(of(theirs, "past"), "w").where(around).select("w", "tokens", "past"))
-    alike = alike.select("tokens", "past").distinct()
-    per = past.groupBy("past", "page_id").agg(F.count(F.lit(1)).alias("n"))
-    found = asked.select("query_id", "tokens").join(alike, "tokens").join(per, "past")
-    return found.groupBy("query_id", "page_id").agg(F.sum("n").alias("n_picks"))
+    return PastPicks(picks).applicable(queries)
 
 
 def recorded_pick(picks: DataFrame, query: str, page_id: int, now: float) -> DataFrame:
@@ -94,6 +101,8 @@ class Index:
         self.stats = keep(index.doc_stats(self.pages, self.posts, "page_id"))
         self.rated = keep(self._rated())
         self.seen = keep(self.pages.select("page_id", "visited", "last_visit"))
+        self.past = PastPicks(self.picks, keep)
+        self.tokens = keep(index.token_heads(self.posts))
 
     def _rated(self) -> DataFrame:
         """Pages outside hubs and their score of being visited again."""
@@ -103,9 +112,10 @@ class Index:
 
     def resident(self) -> Index:
         """The same, with what a search reads in the executors' memory, spread over them."""
-        for name in ("posts", "stats", "rated", "seen", "picks", "links", "places"):
-            setattr(self, name, getattr(self, name).persist())
-            getattr(self, name).count()
+        parts = [(self, n) for n in ("posts", "stats", "rated", "seen", "links", "places", "tokens")] + [(self.past, n) for n in ("per", "words", "common", "rarest")]
+        for holder, name in parts:
+            setattr(holder, name, getattr(holder, name).persist())
+            getattr(holder, name).count()
         return self
 
     def retrieve(self, queries: DataFrame, now: float, k: int | None = None, recent_days: int | None = DEFAULT.recent_days) -> DataFrame:
@@ -115,9 +125,9 @@ class Index:
         asked = settled(queries.withColumn("text_id", F.xxhash64("query")))
         texts = asked.groupBy(F.col("text_id").alias("query_id")).agg(F.any_value("query").alias("query"))
         atoms = settled(index.query_atoms(texts))
-        found = index.matches(index.hits(self.posts, atoms), atoms, self.stats, self.settings.field_weights).withColumnRenamed("doc_id", "page_id")
+        found = index.matches(index.hits(self.posts, atoms, self.tokens), atoms, self.stats, self.settings.field_weights).withColumnRenamed("doc_id", "page_id")
         rated = self.rated.join(graph.recent_or_near(self.seen, self.links, now, recent_days).select("page_id"), "page_id", "left_semi")
-        picks = applicable_picks(texts, self.picks)
+        picks = self.past.applicable(texts)
         boosted = alias_boosted(texts, self.pages, self.links, self.places).withColumn("boost", F.lit(self.settings.alias_boost))
         rows = found.join(rated, "page_id").join(picks, ["query_id", "page_id"], "left").join(boosted, ["query_id", "page_id"], "left")
         rows = rows.withColumnRenamed("query_id", "text_id").join(asked.drop("query"), "text_id")

@@ -41,7 +41,8 @@ def _advance(key, batches, state: GroupState, idle_ms: int | None = None):
         if current:
             close(last)
         state.remove()
-        yield pd.DataFrame(out, columns=NAMES)
+        if out:
+            yield pd.DataFrame(out, columns=NAMES)
         return
     ticks = pd.concat(list(batches)).sort_values(["ts_s", "tick_id"])
     if last is not None:
@@ -63,7 +64,8 @@ def _advance(key, batches, state: GroupState, idle_ms: int | None = None):
     state.update((json.dumps(current), json.dumps({"": last} | kept)))
     if idle_ms:
         state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame(out, columns=NAMES)
+    if out:
+        yield pd.DataFrame(out, columns=NAMES)
 
 
 def visit_stream(ticks: DataFrame, idle_ms: int | None = None) -> DataFrame:
