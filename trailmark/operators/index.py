@@ -7,7 +7,7 @@ atom meets the postings by anything but equality.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -53,9 +53,14 @@ def updated_postings(old: DataFrame, new_rows: DataFrame, key: str, fields: list
     return kept.unionByName(postings(new_rows, key, fields))
 
 
+def tokens_of(queries: DataFrame) -> Column:
+    """The queries' tokens: those that have been made, else from their texts."""
+    return F.col("tokens") if "tokens" in queries.columns else T.query_tokens(F.col("query"))
+
+
 def query_atoms(queries: DataFrame) -> DataFrame:
-    """query_id, group_no, atom_no, kind, words of each query (query_id, query)."""
-    grouped = queries.select("query_id", F.posexplode(T.query_groups(T.query_tokens(F.col("query")))).alias("group_no", "atoms"))
+    """query_id, group_no, atom_no, kind, words of each query (query_id, and query or tokens)."""
+    grouped = queries.select("query_id", F.posexplode(T.query_groups(tokens_of(queries))).alias("group_no", "atoms"))
     return grouped.select("query_id", "group_no", F.posexplode("atoms").alias("atom_no", "atom")).select("query_id", "group_no", "atom_no", "atom.kind", "atom.words")
 
 

@@ -15,27 +15,39 @@ from ..sources.shared import settled
 from . import graph, index
 
 
-def alias_word_df(places: DataFrame) -> DataFrame:
+def alias_words(places: DataFrame) -> DataFrame:
+    """place_id, words: of the places' aliases."""
+    return places.where("alias != ''").select("place_id", T.split_words(T.index_text(F.col("alias"))).alias("words"))
+
+
+def alias_word_df(places: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """word, n: in how many places' aliases each word is."""
-    said = places.where("alias != ''").select("place_id", F.explode(F.array_distinct(T.split_words(T.index_text(F.col("alias"))))).alias("word"))
+    said = (alias_words(places) if named is None else named).select("place_id", F.explode(F.array_distinct("words")).alias("word"))
     return said.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+class Aliases:
+    """The places' aliases, run together and by the words that at most two of them have."""
+
+    def __init__(self, places: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled):
+        named = keep(alias_words(places))
+        self.whole = keep(named.select("place_id", F.array_join("words", "").alias("gram")))
+        rare = alias_word_df(places, named).where("n <= 2").select("word")
+        self.words = keep(named.select("place_id", F.explode(F.array_distinct("words")).alias("word")).join(rare, "word"))
+
+    def named_by(self, queries: DataFrame) -> DataFrame:
+        """query_id, place_id: places that a query names - one to three neighbouring words of it, run together, are the
+        alias run together, or it has a word that at most two aliases have. Both are equi joins."""
+        said = queries.select("query_id", index.tokens_of(queries).alias("tokens")).where(F.size("tokens") > 0)
+        starts = F.sequence(F.lit(1), F.size("tokens"))
+        grams = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, n), ""))))
+        grams = said.select("query_id", F.explode(F.array_distinct(grams)).alias("gram"))
+        words = said.select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
+        return grams.join(self.whole, "gram").select("query_id", "place_id").union(words.join(self.words, "word").select("query_id", "place_id")).distinct()
+
+
 def alias_places(queries: DataFrame, places: DataFrame) -> DataFrame:
-    """query_id, place_id: places that a query names - one to three neighbouring words of it, run together, are the
-    alias run together, or it has a word that at most two aliases have. Both are equi joins."""
-    tokens = T.query_tokens(F.col("query"))
-    said = queries.select("query_id", tokens.alias("tokens"))
-    starts = F.sequence(F.lit(1), F.size("tokens"))
-    grams = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, n), ""))))
-    grams = said.where(F.size("tokens") > 0).select("query_id", F.explode(F.array_distinct(grams)).alias("gram"))
-    words = T.split_words(T.index_text(F.col("alias")))
-    named = places.where("alias != ''").select("place_id", words.alias("words"))
-    whole = grams.join(named.select("place_id", F.array_join("words", "").alias("gram")), "gram").select("query_id", "place_id")
-    rare = alias_word_df(places).where("n <= 2").select("word")
-    of_place = named.select("place_id", F.explode(F.array_distinct("words")).alias("word")).join(rare, "word")
-    of_query = said.select("query_id", F.explode(F.array_distinct("tokens")).alias("word"))
-    return whole.union(of_query.join(of_place, "word").select("query_id", "place_id")).distinct()
+    return Aliases(places).named_by(queries)
 
 
 class PastPicks:
@@ -45,7 +57,7 @@ class PastPicks:
     is then compared; common words bring nothing together."""
 
     def __init__(self, picks: DataFrame, keep: Callable[[DataFrame], DataFrame] = settled):
-        rows = keep(picks.select("page_id", _word_set().alias("past")).where(F.size("past") > 0).groupBy("past", "page_id").agg(F.count(F.lit(1)).alias("n")))
+        rows = keep(picks.select("page_id", _word_set(picks).alias("past")).where(F.size("past") > 0).groupBy("past", "page_id").agg(F.count(F.lit(1)).alias("n")))
         self.per = rows
         self.words = keep(rows.select("past").distinct().select("past", F.explode("past").alias("w")))
         self.common = keep(self.words.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
@@ -53,7 +65,7 @@ class PastPicks:
 
     def applicable(self, queries: DataFrame) -> DataFrame:
         """query_id, page_id, n_picks: past picks whose query's words are all in the query, or the other way round."""
-        asked = queries.select("query_id", _word_set().alias("tokens")).where(F.size("tokens") > 0)
+        asked = queries.select("query_id", _word_set(queries).alias("tokens")).where(F.size("tokens") > 0)
         mine = asked.select("tokens").distinct().select("tokens", F.explode("tokens").alias("w"))
         own = mine.join(self.common, "w", "left").groupBy("tokens").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"))
         wider = own.join(self.words, "w").where(F.size(F.array_except("tokens", "past")) == 0)
@@ -62,8 +74,8 @@ class PastPicks:
         return asked.join(alike, "tokens").join(self.per, "past").groupBy("query_id", "page_id").agg(F.sum("n").alias("n_picks"))
 
 
-def _word_set() -> Column:
-    return F.array_sort(F.array_distinct(T.query_tokens(F.col("query"))))
+def _word_set(queries: DataFrame) -> Column:
+    return F.array_sort(F.array_distinct(index.tokens_of(queries)))
 
 
 def applicable_picks(queries: DataFrame, picks: DataFrame) -> DataFrame:
@@ -102,6 +114,7 @@ class Index:
         self.rated = keep(self._rated())
         self.seen = keep(self.pages.select("page_id", "visited", "last_visit"))
         self.past = PastPicks(self.picks, keep)
+        self.aliases = Aliases(self.places, keep)
         self.tokens = keep(index.token_heads(self.posts))
 
     def _rated(self) -> DataFrame:
@@ -112,7 +125,7 @@ class Index:
 
     def resident(self) -> Index:
         """The same, with what a search reads in the executors' memory, spread over them."""
-        parts = [(self, n) for n in ("posts", "stats", "rated", "seen", "links", "places", "tokens")] + [(self.past, n) for n in ("per", "words", "common", "rarest")]
+        parts = [(self, n) for n in ("pages", "posts", "stats", "rated", "seen", "links", "tokens")] + [(self.past, n) for n in ("per", "words", "common", "rarest")] + [(self.aliases, n) for n in ("whole", "words")]
         for holder, name in parts:
             setattr(holder, name, getattr(holder, name).persist())
             getattr(holder, name).count()
@@ -122,13 +135,14 @@ class Index:
         """query_id, rank, page_id, url, kind, score, n_picks of the first k candidates of each query (query_id, query; with
         a column `hidden`, one past pick of that query for that page does not count). Each distinct text is looked up once."""
         k = k or self.settings.candidates
-        asked = settled(queries.withColumn("text_id", F.xxhash64("query")))
+        asked = queries.withColumn("text_id", F.xxhash64("query"))
         texts = asked.groupBy(F.col("text_id").alias("query_id")).agg(F.any_value("query").alias("query"))
-        atoms = settled(index.query_atoms(texts))
+        texts = settled(texts.select("query_id", T.query_tokens(F.col("query")).alias("tokens")))
+        atoms = index.query_atoms(texts)
         found = index.matches(index.hits(self.posts, atoms, self.tokens), atoms, self.stats, self.settings.field_weights).withColumnRenamed("doc_id", "page_id")
         rated = self.rated.join(graph.recent_or_near(self.seen, self.links, now, recent_days).select("page_id"), "page_id", "left_semi")
         picks = self.past.applicable(texts)
-        boosted = alias_boosted(texts, self.pages, self.links, self.places).withColumn("boost", F.lit(self.settings.alias_boost))
+        boosted = alias_boosted(texts, self.pages, self.links, self.aliases).withColumn("boost", F.lit(self.settings.alias_boost))
         rows = found.join(rated, "page_id").join(picks, ["query_id", "page_id"], "left").join(boosted, ["query_id", "page_id"], "left")
         rows = rows.withColumnRenamed("query_id", "text_id").join(asked.drop("query"), "text_id")
         own = (F.col("hidden") == F.col("page_id")).cast("int") if "hidden" in queries.columns else F.lit(0)
@@ -157,9 +171,9 @@ def described_pages(pages: DataFrame, texts: DataFrame, links: DataFrame, places
     return rows.withColumn("description", text)
 
 
-def alias_boosted(queries: DataFrame, pages: DataFrame, links: DataFrame, places: DataFrame) -> DataFrame:
+def alias_boosted(queries: DataFrame, pages: DataFrame, links: DataFrame, aliases: Aliases) -> DataFrame:
     """query_id, page_id: pages in a place that the query names, or that a page in one links to."""
-    named = alias_places(queries, places)
+    named = aliases.named_by(queries)
     inside = named.join(pages.select("place_id", "page_id"), "place_id")
     linked = inside.select("query_id", F.col("page_id").alias("from_id")).join(links.select("from_id", F.col("to_id").alias("page_id")), "from_id")
     return inside.select("query_id", "page_id").union(linked.select("query_id", "page_id")).distinct()

@@ -573,7 +573,7 @@ def alias_places(spark, sf):
 @query
 def alias_boost(spark, sf):
     pages, links, spots = _graph(spark, sf)
-    return search.alias_boosted(_alias_queries(spark, sf), pages, links, spots)
+    return search.alias_boosted(_alias_queries(spark, sf), pages, links, search.Aliases(spots))
 
 
 @query
