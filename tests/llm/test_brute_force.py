@@ -93,6 +93,7 @@ def test_paraphrases_against_the_longest_common_subsequence(spark, block_bytes):
         n, need = len(item), int(np.ceil(0.6 * len(item)))
         if any(lcs(item, text[at : at + n]) >= need for at in range(max(1, len(text) - n + 1))):
             right.add((d, own))
+    print(f"{len(right)} paraphrases that hold enough, {len(right & found) / len(right):.4f} found, {len(found - right)} more")
     assert len(right) > 150
     assert len(right & found) >= 0.95 * len(right)
     for d, i in found:

@@ -438,6 +438,7 @@ def test_near_passages_against_all_pairs(spark):
         right = classes_of(n, pairs)
         assert all(right[i] == right[found[i]] for i in range(n)), "linked without a near passage"
         caught = np.mean([found[a] == found[b] for a, b in pairs])
+        print(f"{len(pairs)} near passages, {caught:.4f} caught")
         assert len(pairs) > 80 and caught >= 0.95, caught
 
 
