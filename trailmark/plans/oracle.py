@@ -216,7 +216,17 @@ P1 = f"p AS (SELECT page_id, url AS raw, {normal_url('url')} AS url FROM pages)"
 add("url_normalize", P1, "SELECT page_id, url FROM p")
 add("url_origin", P1, f"SELECT page_id, {origin('raw')} AS origin FROM p")
 add("url_segments", P1, f"SELECT page_id, array_to_string({segs('raw')}, '|') AS segments, len({segs('raw')}) AS n FROM p")
-add("url_kind", P1, f"""SELECT page_id, {pick('page_id % 7', "'html'", "'pdf'", "'slides'", "'video'", "'file'", "'pdf'", "'file'")} AS kind FROM p""")
+
+
+def kind_of(u: str) -> str:
+    p = f"lower({path(u)})"
+    return f"""CASE WHEN {p} LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches({p}, '\\.(pptx?|key)$') OR ({host(u)} = 'docs.google.com' AND starts_with({p}, '/presentation')) THEN 'slides'
+  WHEN regexp_matches({p}, '\\.(mp4|mov|webm|m4v)$') OR regexp_matches({host(u)}, '(youtube\\.com|youtu\\.be|panopto|vimeo)') THEN 'video'
+  WHEN regexp_matches({p}, '\\.(docx?|xlsx?|zip|tar|gz|txt|md|ipynb|py|java|go|c|h|cpp|rs|png|jpe?g|gif|svg)$') THEN 'file' ELSE 'html' END"""
+
+
+_ended = f"({origin('url')} || {path('url')} || {pick('page_id % 7', *(repr(x) for x in ('', '.pdf', 'x.pptx', 'v.mp4', 'a.zip', 'b.PDF', '.md')))})"
+add("url_kind", P1, f"SELECT page_id, {kind_of('u')} AS kind FROM (SELECT page_id, {_ended} AS u FROM p)")
 add("url_template", P1, f"SELECT page_id, {template('url')} AS template FROM p")
 _w = f"regexp_replace(regexp_replace({host('url')} || ' ' || {path('url')}, '([a-zA-Z])([0-9])', '\\1 \\2', 'g'), '([0-9])([a-zA-Z])', '\\1 \\2', 'g')"
 add("url_words", P1, f"SELECT page_id, trim(regexp_replace(lower({_w}), '[^a-z0-9]+', ' ', 'g')) AS words FROM p")
@@ -248,10 +258,13 @@ add("page_outline", OUT, """SELECT page_id, array_to_string(hs, ' | ') AS headin
 add("compose_snippet", PG, f"""SELECT page_id, left(concat_ws(' | ', CASE WHEN title <> '' THEN 'Description: ' || title END,
   CASE WHEN page_id % 2 = 0 THEN 'Breadcrumb: ' || {host('url')} END, nullif(array_to_string(headings, ' | '), '')), 1000) AS snippet FROM pg""")
 add("clip_text", PG, f"SELECT page_id, {clip('title', 20)} AS clipped FROM pg")
-add("headings_json", PG, """SELECT page_id, CASE page_id % 4 WHEN 0 THEN array_to_string(headings, ' | ') WHEN 1 THEN 'one' WHEN 2 THEN 'not json' ELSE '' END AS kept,
-  CASE page_id % 4 WHEN 0 THEN array_to_string(headings, ' | ') WHEN 1 THEN 'one' ELSE '' END AS strict FROM pg""")
+_read = "CASE WHEN raw IS NULL THEN '' WHEN json_valid(raw) THEN CASE WHEN json_type(raw::JSON) = 'ARRAY' THEN array_to_string(from_json(raw, '[\"VARCHAR\"]'), ' | ') ELSE raw::JSON ->> '$' END ELSE {} END"
+add("headings_json", f"{PG}, hj AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN to_json(headings)::VARCHAR WHEN 1 THEN '\"one\"' WHEN 2 THEN 'not json' END AS raw FROM pg)",
+    f"SELECT page_id, {_read.format('raw')} AS kept, {_read.format(repr(''))} AS strict FROM hj")
 SQL["login_wall"] = "SELECT page_id, page_id % 5 = 0 OR regexp_matches(html, '(?i)<input[^>]+type\\s*=\\s*[\"'']?password') AS login FROM pages"
-SQL["content_kind"] = f"""SELECT page_id, page_id % 5 IN (0, 4) AS is_html, {pick('page_id % 5', "'file'", "'pdf'", "'file'", 'NULL', "'file'")} AS kind FROM pages"""
+_types = pick("page_id % 5", *(f"'{x}'" for x in ("text/html; charset=utf-8", "application/pdf", "image/png", "", "Application/XHTML+xml ;q=1")))
+SQL["content_kind"] = f"""SELECT page_id, media IN ('text/html', 'application/xhtml+xml') AS is_html, CASE WHEN media = 'application/pdf' THEN 'pdf' WHEN media <> '' THEN 'file' END AS kind
+  FROM (SELECT page_id, lower(trim(split_part({_types}, ';', 1))) AS media FROM pages)"""
 
 # --- visits and scores
 
@@ -587,7 +600,12 @@ add("eval_summary", EVAL, "SELECT count(*) AS cases, round(avg(hit1::INT), 2) AS
 
 CA = "ca AS (SELECT item_id AS query_id, rank, item_id * 3 + rank AS page_id, 'option ' || rank || ' of ' || item_id AS description, (item_id + rank) % 3 AS n_picks FROM benchmark, generate_series(1, 3) t(rank))"
 add("rerank_request", CA, """SELECT query_id, '{' || string_agg('"c' || (rank - 1) || '":"' || description || '"', ',' ORDER BY rank) || '}' AS criteria FROM ca GROUP BY 1""")
-PRB = f"""{CA}, pr AS (SELECT *, CASE query_id % 6 WHEN 0 THEN [0.1, 0.7, 0.0][rank] WHEN 1 THEN [0.0, 0.0, 1.0][rank] WHEN 2 THEN [0.0, 0.4, 0.0][rank] WHEN 5 THEN [0.04, 0.0, 0.06][rank] END::DOUBLE AS probability FROM ca)"""
+_answers = pick("query_id % 6", *(f"'{x}'" for x in ('{"probabilities": {"c0": 0.1, "c1": 0.7, "c2": "x"}}', '{"choice": "c2"}', '{"choice": "c1", "confidence": 0.4}', "not json", '{"probabilities": {"c0": -1, "c1": 0}}', '{"probabilities": {"c0": 0.04, "c2": 0.06}}')))
+_positive = lambda x: f"greatest(coalesce(try_cast({x} AS DOUBLE), 0), 0)"
+PRB = f"""{CA}, an AS (SELECT *, CASE WHEN json_valid(a) THEN a::JSON END AS j FROM (SELECT *, {_answers} AS a FROM ca)),
+ap AS (SELECT * EXCLUDE (a, j), CASE WHEN len(json_keys(j, '$.probabilities')) > 0 THEN {_positive("j ->> ('$.probabilities.c' || (rank - 1))")}
+  WHEN j ->> '$.choice' = 'c' || (rank - 1) THEN CASE WHEN j ->> '$.confidence' IS NULL THEN 1.0 ELSE {_positive("j ->> '$.confidence'")} END ELSE 0.0 END AS w FROM an),
+pr AS (SELECT * EXCLUDE (w), CASE WHEN max(w) OVER (PARTITION BY query_id) > 0 THEN w END AS probability FROM ap)"""
 add("rerank_parse", PRB, "SELECT query_id, rank, probability FROM pr")
 add("rerank_cutoff", PRB, """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY probability * (1 + n_picks) DESC NULLS LAST, rank) AS place, page_id FROM pr
   WHERE probability IS NULL OR probability * (1 + n_picks) >= 0.1""")
@@ -614,7 +632,7 @@ FT = f"""{TG}, ft AS (SELECT from_url, url, link_seq, CASE WHEN starts_with({pat
   AND NOT EXISTS (SELECT 1 FROM pg p WHERE p.url = t.url AND ((p.visited AND p.snippet <> '') OR p.crawled_at > {NOW} - 86400)))"""
 add("crawl_frontier", FT, "SELECT * FROM ft")
 add("crawl_budget", FT, "SELECT from_url, url, turn FROM (SELECT *, row_number() OVER (PARTITION BY from_url ORDER BY relation <> 'deeper', link_seq, url) AS turn FROM ft) WHERE turn <= 3")
-add("crawl_discover", TG, f"""SELECT url, 'html' AS kind, CASE WHEN {origin('url')} = {origin('from_url')} AND starts_with(rtrim({path('url')}, '/') || '/', {directory('from_url')}) THEN {origin('from_url')} || {directory('from_url')} END AS place_scope
+add("crawl_discover", TG, f"""SELECT url, {kind_of('url')} AS kind, CASE WHEN {origin('url')} = {origin('from_url')} AND starts_with(rtrim({path('url')}, '/') || '/', {directory('from_url')}) THEN {origin('from_url')} || {directory('from_url')} END AS place_scope
   FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY job_id, link_seq) AS r FROM tg t WHERE NOT EXISTS (SELECT 1 FROM pg p WHERE p.url = t.url)) WHERE r = 1""")
 REPLY = f"""rp AS (SELECT page_id, url, title, headings, snippet, visited, CASE page_id % 9 WHEN 0 THEN 404 WHEN 1 THEN 0 ELSE 200 END AS status FROM pg)"""
 add("crawl_fetch_join", f"{FT}, {REPLY}", "SELECT f.url, coalesce(r.status, 0) AS status, coalesce(r.page_id % 9 >= 4, FALSE) AS has_body FROM (SELECT DISTINCT url FROM ft) f LEFT JOIN rp r USING (url)")
@@ -634,5 +652,6 @@ SQL["upsert_meta"] = """SELECT key, coalesce(n.value, o.value) AS value FROM (SE
 add("page_captures", V, """SELECT user_id, url, round(ts_s, 3) AS start_s, t.turn, t.after, t.text
   FROM (SELECT v.*, v.duration_s % 40 AS d, k FROM v JOIN ev USING (event_id)), (VALUES (0, 4.0::DOUBLE, 'first'), (1, 16.0::DOUBLE, 'second')) n(turn, after, said),
   LATERAL (SELECT n.turn, n.after, CASE WHEN n.turn = 0 AND k % 3 <> 0 THEN '' ELSE n.said END AS text) t WHERE d >= t.after AND (t.turn = 0 OR k % 3 <> 0)""".replace("v.*, v", "v.user_id, v.url, v.ts_s, v"))
-SQL["robots_policy"] = "SELECT page_id, page_id % 7 = 3 OR (page_id % 7 = 0 AND page_id % 2 = 1) AS allowed FROM pages"
+SQL["robots_policy"] = f"""SELECT page_id, CASE WHEN status = 0 OR status >= 500 OR status IN (401, 403) THEN FALSE WHEN status >= 400 THEN TRUE ELSE NOT starts_with({path('url')}, '/private/') END AS allowed
+  FROM (SELECT page_id, {pick('page_id % 7', '200', '401', '403', '404', '500', '503', '0')} AS status, 'https://h' || (page_id % 7) || '.example/' || CASE WHEN page_id % 2 = 0 THEN 'private/' ELSE 'open/' END || page_id AS url FROM pages)"""
 SQL["stream_visits"] = SQL["sessionize"] + " WHERE (user_id, run) NOT IN (SELECT (user_id, max(run)) FROM g GROUP BY user_id)"
