@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 
 U = B.U
-#: Bits that one exchange cuts by; bytes that a task gathers before it cuts again; records that a shard should hold.
-FAN, GATHERED, RECORDS = 7, 64 << 20, 1 << 21
+#: Bits that one exchange cuts by at most; bytes that a task gathers before it cuts again; bits that say a shard, at
+#: least; records that a shard should hold.
+FAN, GATHERED, LEAST, RECORDS = 10, 64 << 20, 7, 1 << 21
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -33,7 +34,7 @@ def plain(raw: bytes, kind: str) -> np.ndarray:
 
 
 def bits_for(records: int) -> int:
-    return max(FAN, (records // RECORDS).bit_length())
+    return max(LEAST, (records // RECORDS).bit_length())
 
 
 class Records:

@@ -35,8 +35,8 @@ U = B.U
 CHUNK = 8 << 20
 #: Window starts that are looked at together; occurrences from which an anchor sends single windows.
 STARTS, FREQUENT = 1 << 19, 20000
-#: Shards of contexts, in bits, of up to a GB.
-SHARD_BITS = 9
+#: Shards of contexts, in bits: of up to half a GB, and as many as one exchange deals to.
+SHARD_BITS, SHARD_FAN = 9, 12
 LAST = np.iinfo(np.int64).max
 
 
@@ -127,8 +127,8 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     repeated_keys(packs, anchor_keys, n_chunks * (chunk_bytes // 16), folder, frequent)
     # suffix sorting takes some dozens of bytes for each byte of context
     bits = max(SHARD_BITS, (n_chunks * 4 * chunk_bytes // CHUNK).bit_length())
-    contexts = Records(bits, SHARD_BITS, chunk="<i8", number="<u4", key="<u8", owner="<i8", size="|u1" if length <= 128 else "<u4", raw="*|u1")
-    spans = Records(bits, chunk="<i8", number="<u4", size="<u2", sizes="*<u2", ids="*<i8")
+    contexts = Records(bits, SHARD_FAN, chunk="<i8", number="<u4", key="<u8", owner="<i8", size="|u1" if length <= 128 else "<u4", raw="*|u1")
+    spans = Records(bits, SHARD_FAN, chunk="<i8", number="<u4", size="<u2", sizes="*<u2", ids="*<i8")
 
     # contexts of those anchors
     def send_contexts(batches):
