@@ -1,12 +1,16 @@
 """The parts that operators are made of, against plain versions of them."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trailmark.llm import bytesops as B
 from trailmark.llm.elias_fano import EliasFano
+from trailmark.llm.exchange import Records
 from trailmark.llm.induced_sort import suffix_array
 from trailmark.llm.rules_forest import Forest
 from trailmark.llm.simhash_gray import xxh64
@@ -59,3 +63,46 @@ def test_forest_isolates_what_is_far_off():
     forest = Forest(x, 50, 64, 0)
     scores = forest.score(np.array([[0.0, 0.0], [9.0, -9.0]]))
     assert scores[1] > 0.6 > 0.55 > scores[0]
+
+
+def peak_of(run) -> int:
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_values_are_gathered_without_a_place_for_each():
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 255, 8 << 20).astype(np.uint8)
+    start = rng.integers(0, len(values) - 200, 100_000)
+    size = rng.integers(0, 200, len(start)).astype(np.uint8)
+    records = Records(4, size="|u1", raw="*|u1")
+    raw = values[B.inside(start, size)]
+    assert np.array_equal(B.gather(values, start, size), raw)
+    at = rng.permutation(len(start))
+    taken = []
+    peak = peak_of(lambda: taken.extend(records.take([size, raw], at)))
+    assert np.array_equal(taken[1], raw[B.inside((np.cumsum(size, dtype=np.int64) - size)[at], size[at])])
+    assert peak < 6 * len(raw)
+
+
+def test_tiny_rows_are_cut_again_without_an_object_each():
+    rng = np.random.default_rng(6)
+    records = Records(9, fan=8, chunk="<i8", size="<u2", ids="*<i8")
+    sent = []
+    for _ in range(100):
+        chunk = rng.integers(0, 500, 400)
+        size = rng.integers(0, 3, len(chunk))
+        sent += records.rows(B.mix64(chunk.astype(np.uint64)), chunk, size, rng.integers(0, 99, int(size.sum())))
+    out = []
+    peak = peak_of(lambda: out.extend(records._cut_again(9)(iter(sent))))
+    assert sum(b.num_rows for b in sent) > 15_000
+    assert sum(b.num_rows for b in out) < 513
+    together = lambda batches: sorted(zip(*(x.tolist() for x in records.read(pa.Table.from_batches(batches))[:3])))
+    assert together(out) == together(sent)
+    for batch in out:
+        for i in range(batch.num_rows):
+            assert {int(r) >> 55 for r in records.read(batch.slice(i, 1))[0]} == {batch.column(0)[i].as_py()}
+    assert peak < 1 << 20
