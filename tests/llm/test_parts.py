@@ -12,6 +12,7 @@ from trailmark.llm import bytesops as B
 from trailmark.llm.elias_fano import EliasFano
 from trailmark.llm.exchange import Records
 from trailmark.llm.induced_sort import suffix_array
+from trailmark.llm.lm_trie import merged_triples
 from trailmark.llm.rules_forest import Forest
 from trailmark.llm.simhash_gray import xxh64
 
@@ -106,3 +107,31 @@ def test_tiny_rows_are_cut_again_without_an_object_each():
         for i in range(batch.num_rows):
             assert {int(r) >> 55 for r in records.read(batch.slice(i, 1))[0]} == {batch.column(0)[i].as_py()}
     assert peak < 1 << 20
+
+
+def test_rows_come_in_bounded_batches():
+    rng = np.random.default_rng(7)
+    records = Records(7, key="+<u8", size="|u1", raw="*|u1")
+    key = np.sort(rng.integers(0, 1 << 63, 3 << 19).astype(U))
+    size = rng.integers(0, 3, len(key)).astype(np.uint8)
+    raw = rng.integers(0, 255, int(size.sum())).astype(np.uint8)
+    expected = [key << U(1), key, size, raw]
+    mixed = rng.permutation(len(key))
+    for order in (np.arange(len(key)), mixed):
+        batches = list(records.rows((key << U(1))[order], *records.take([key, size, raw], order)))
+        counts = [len(records.read(b)[0]) for b in batches]
+        assert max(counts) <= (1 << 19) + len(key) // 100 and sum(counts) == len(key)
+        read = records.read(pa.Table.from_batches(batches))
+        assert all(np.array_equal(a, b) for a, b in zip(read, expected))
+
+
+def test_triples_are_merged_in_little_memory():
+    rng = np.random.default_rng(8)
+    pair = rng.integers(0, 300, 1 << 19).astype(U) << U(32)
+    third = rng.integers(0, 900, len(pair)).astype(np.uint32)
+    found = []
+    peak = peak_of(lambda: found.extend(merged_triples(pair, third)))
+    keys, n = np.unique(pair | third, return_counts=True)
+    assert np.array_equal(found[0] | found[1], keys) and np.array_equal(found[2], n)
+    assert all(np.array_equal(a, b) for a, b in zip(found, merged_triples(pair, third, np.ones(len(pair), np.uint8))))
+    assert peak < 36 * len(pair)

@@ -19,8 +19,8 @@ from . import bytesops as B
 
 U = B.U
 #: Bits that one exchange cuts by at most; bytes that a task gathers before it cuts again; bits that say a shard, at
-#: least; records that a shard should hold.
-FAN, GATHERED, LEAST, RECORDS = 10, 64 << 20, 7, 1 << 21
+#: least; records that a shard should hold; records of a batch of rows, beside those of its last row.
+FAN, GATHERED, LEAST, RECORDS, TOGETHER = 10, 64 << 20, 7, 1 << 21, 1 << 19
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -60,23 +60,39 @@ class Records:
         if not len(route):
             return
         bits = min(self.bits, self.fan) if bits is None else bits
-        order = np.argsort(route, kind="stable")
-        route, columns = route[order], self.take(list(columns), order)
-        shard = (route >> U(64 - bits)).astype(np.int64)
+        columns = list(columns)
+        if (route[1:] < route[:-1]).any():
+            order = np.argsort(route, kind="stable")
+            route, columns = route[order], self.take(columns, order)
+            del order
+        shard = route >> U(64 - bits)
         first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        cut = np.append(first, len(shard))
-        packed = [pa.array([planes(np.diff(route[a:b], prepend=U(0))) for a, b in zip(cut, cut[1:])], pa.binary())]
+        shard = shard[first].astype(np.int64)
+        cut = np.append(first, len(route))
         sizes = dict(zip(self.kinds, columns)).get("size")
+        if sizes is not None:
+            sizes = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        # a batch is sent whole, and is then in the memory of both sides
+        lo = 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + TOGETHER, "right")) - 1)
+            yield self._packed(shard[lo:hi], cut[lo : hi + 1], route, columns, sizes)
+            lo = hi
+
+    def _packed(self, shard: np.ndarray, cut: np.ndarray, route: np.ndarray, columns: list[np.ndarray], sizes: np.ndarray | None) -> pa.RecordBatch:
+        """One row for the records between each two places of cut."""
+        packed = [pa.array([planes(np.diff(route[a:b], prepend=U(0))) for a, b in zip(cut, cut[1:])], pa.binary())]
         for c, k in zip(columns, self.kinds.values(), strict=True):
-            c = np.ascontiguousarray(c, k.lstrip("*+"))
+            kind = k.lstrip("*+")
             if k[0] == "+":
-                packed.append(pa.array([planes(np.diff(c[a:b], prepend=c.dtype.type(0))) for a, b in zip(cut, cut[1:])], pa.binary()))
+                parts = (np.ascontiguousarray(c[a:b], kind) for a, b in zip(cut, cut[1:]))
+                packed.append(pa.array([planes(np.diff(x, prepend=x.dtype.type(0))) for x in parts], pa.binary()))
             elif k[0] == "*":
-                at = np.append(0, np.cumsum(sizes, dtype=np.int64))[cut]
-                packed.append(pa.array([pa.compress(planes(c[a:b]), "zstd", asbytes=True) for a, b in zip(at, at[1:])], pa.binary()))
+                at = sizes[cut]
+                packed.append(pa.array([pa.compress(planes(np.ascontiguousarray(c[a:b], kind)), "zstd", asbytes=True) for a, b in zip(at, at[1:])], pa.binary()))
             else:
-                packed.append(pa.array([planes(c[a:b]) for a, b in zip(cut, cut[1:])], pa.binary()))
-        yield pa.RecordBatch.from_arrays([pa.array(shard[first]), *packed], ["shard", "route", *self.kinds])
+                packed.append(pa.array([planes(np.ascontiguousarray(c[a:b], kind)) for a, b in zip(cut, cut[1:])], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(shard), *packed], ["shard", "route", *self.kinds])
 
     def table(self, route: np.ndarray, *columns: np.ndarray) -> pa.Table:
         schema = pa.schema([("shard", pa.int64()), *((c, pa.binary()) for c in ("route", *self.kinds))])

@@ -61,11 +61,26 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def merged_triples(pair: np.ndarray, third: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (pair, third), sorted, and their summed counts. Under 2^32 of them."""
-    known, rank = np.unique(pair, return_inverse=True)
-    keys, n = merged(rank.astype(U) << U(32) | third.astype(U), counts)
-    return known[(keys >> U(32)).astype(np.int64)], (keys & U(0xFFFFFFFF)).astype(np.uint32), n
+def merged_triples(pair: np.ndarray, third: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, third), sorted, and their summed counts (without counts: how many they are). Under 2^32 of them."""
+    order = np.argsort(pair)
+    pair = pair[order]
+    first = heads(pair)
+    known = pair[first]
+    del pair
+    keys = np.repeat(np.arange(len(first), dtype=U) << U(32), np.diff(np.append(first, len(order))))
+    keys |= third[order]
+    if counts is None:
+        del order
+        keys.sort()
+        first = heads(keys)
+        n = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+    else:
+        counts = counts[order]
+        del order
+        keys, n = merged(keys, counts)
+    return known[(keys >> U(32)).astype(np.int64)], keys.astype(np.uint32), n
 
 
 def gathered(batches, take) -> Iterator[list[np.ndarray]]:
@@ -77,11 +92,16 @@ def gathered(batches, take) -> Iterator[list[np.ndarray]]:
             held.append(take(data, offsets))
             size += len(held[-1][0])
             if size >= HELD:
-                yield [np.concatenate(x) for x in zip(*held)]
+                # the pieces go before what is made of them is worked on
+                whole = [np.concatenate(x) for x in zip(*held)]
                 held, size = [], 0
+                yield whole
+                del whole
                 B.trim()
     if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+        whole = [np.concatenate(x) for x in zip(*held)]
+        del held
+        yield whole
 
 
 # --- tokens
@@ -316,11 +336,14 @@ def train(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Model:
         return pair, third
 
     def send(batches):
-        for pair, third in gathered(batches, taken):
-            pair, third, n = merged_triples(pair, third, np.ones(len(pair), np.uint8))
+        for held in gathered(batches, taken):
+            pair, third, n = merged_triples(*held)
+            held.clear()
             B.trim()
-            shard = np.searchsorted(model.starts, pair, "right") - 1
-            yield from triples.rows(shard.astype(U) << U(64 - bits2), pair, third, n)
+            shard = (np.searchsorted(model.starts, pair, "right") - 1).astype(U)
+            shard <<= U(64 - bits2)
+            yield from triples.rows(shard, pair, third, n)
+            del pair, third, n, shard
 
     def levels(table: pa.Table) -> pa.Table:
         s = table.column("shard")[0].as_py()
