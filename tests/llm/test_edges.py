@@ -442,6 +442,31 @@ def test_near_passages_against_all_pairs(spark):
         assert len(pairs) > 80 and caught >= 0.95, caught
 
 
+def test_every_pair_at_the_threshold_is_linked(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: [f"v{x}" for x in rng.integers(0, 30000, n)]
+    line, texts = draw(30), []
+    for i in range(400):
+        # a word replaced in the middle leaves 41 of 46 shingles, just enough; a second one, in some, mostly too few
+        passage, at = draw(50), int(rng.integers(8, 40))
+        other = [*passage[:at], "changed", *passage[at + 1 :]]
+        if i % 8 == 7:
+            other[at - 8] = "too"
+        around = draw(8) if i % 2 else line
+        texts += [passage + around, [*draw(3), *other, *around]]
+    right = []
+    for a, b in zip(texts[::2], texts[1::2]):
+        x, y = ([hash(tuple(t[i : i + 5])) for i in range(len(t) - 4)] for t in (a, b))
+        same = np.zeros((len(x) + 1, len(y) + 1), int)
+        same[1:, 1:] = (np.array(x)[:, None] == np.array(y)[None, :]).cumsum(0).cumsum(1)
+        right.append((same[46:, 46:] - same[:-46, 46:] - same[46:, :-46] + same[:-46, :-46]).max() >= 41)
+    assert 350 <= sum(right) < 400
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.class_id for r in compact_windows.passages(docs, chunk_bytes=40_000).collect()}
+    assert sum(right) - sum(found[2 * i + 1] == 2 * i for i in range(400) if right[i]) == 0, "near passages left out"
+    assert all(found[2 * i] == 2 * i and (found[2 * i + 1] == 2 * i) == right[i] for i in range(400))
+
+
 def test_similar_windows_against_all_offsets():
     rng = np.random.default_rng(6)
     least, need = 46, 0.8 * 2 * 46 / 1.8
