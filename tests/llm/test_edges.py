@@ -483,3 +483,20 @@ def test_similar_windows_against_all_offsets():
         assert compact_windows.similar(a, b, least, 0.8).tolist() == want
         some += bool(want)
     assert some > 200
+
+
+def test_axes_are_fitted_on_all_documents(spark):
+    bench = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(40))) for i in range(6)], "item_id long, text string")
+    # words of two items stand together in rows that a sample of 2,000 ids can't all hold
+    texts = [(i, " ".join(f"b{i % 5}x{j} b{i % 5 + 1}x{j}" for j in range(20)) if i % 40 == 0 else f"plain {i}") for i in range(4000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    held, real = [], decontaminate.back_projected
+    space = decontaminate.fitted(docs, bench, axes=4, rounds=1)
+    basis = np.random.default_rng(2).normal(size=(len(space.terms), 4)).astype(np.float32)
+    for t in texts:
+        raw = np.frombuffer(t[1].encode(), np.uint8)
+        held.append(space.passages(*decontaminate.words(raw, np.array([0, len(raw)])))[:3])
+    corpus = sum(real(space, *x, basis) for x in held)
+    queries = space.matrix([h for _, h, _ in space.items])
+    right = np.linalg.qr(real(space, *queries, basis) + len(space.items) / (len(texts) * 30) * corpus)[0]
+    assert np.allclose(np.abs(space.axes), np.abs(right), atol=1e-4)

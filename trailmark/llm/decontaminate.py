@@ -2,8 +2,8 @@
 
 The space is TF-IDF over the rarer words of the benchmark. Its axes come from a randomised SVD: in each round every task
 multiplies its passages' matrix into the current basis and back, the parts are summed, and the basis is made
-orthogonal again. The SVD is fitted on all benchmark passages and the passages of `fit_docs` documents (those with
-the smallest hashes of their ids); document frequencies and the search cover all documents. Passages - overlapping
+orthogonal again. The SVD is fitted on all benchmark passages and the passages of all documents, which document
+frequencies and the search cover too. Passages - overlapping
 windows of words - whose cosine with a benchmark passage is high enough are candidates; the words of a candidate's
 surroundings must then hold a long enough common subsequence with the benchmark passage, within twice its length, and
 its answer, if it has one, which also finds paraphrases that keep most words in order.
@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .space import written
 
 U = B.U
 #: Words of a block; blocks of a passage; axes; share of a benchmark passage's words that must follow in order.
@@ -37,8 +36,8 @@ RARE, RAREST = float(np.log(20)), 24
 AGREE = 4
 #: Bytes of a block of the benchmark.
 BLOCK_BYTES = 8 << 20
-#: Rows that are projected together.
-TOGETHER = 2048
+#: Rows that are projected together; words whose parts, one of each task, are summed in one place.
+TOGETHER, SUMMED = 2048, 64
 LETTER = ((B.BYTES >= 0x30) & (B.BYTES <= 0x39)) | ((B.BYTES >= 0x61) & (B.BYTES <= 0x7A)) | (B.BYTES >= 0x80)
 ANSWER = re.compile(r"(?:^|\s)(?:answer|a)\s*:\s*(.+)$", re.I | re.S)
 
@@ -192,7 +191,7 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)] if n > 1 else [benchmark]
 
 
-def fitted(docs: DataFrame, benchmark: DataFrame, fit_docs: int = 2000, axes: int = AXES, rounds: int = 2) -> Space:
+def fitted(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, rounds: int = 2) -> Space:
     """docs: doc_id, text. benchmark: item_id, text; its rows are the query set and come to the driver."""
     rows = benchmark.where("text is not null").select("item_id", "text").orderBy("item_id", "text").collect()
     space = Space([(r[0], r[1]) for r in rows])
@@ -212,8 +211,6 @@ def fitted(docs: DataFrame, benchmark: DataFrame, fit_docs: int = 2000, axes: in
     df = np.array([counted.get(i, 0) for i in range(len(known))])
     space.index(np.log((counted.get(-1, 0) + 1) / (df + 1)) + 0.05)
 
-    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs).distinct()
-    sample = written(docs.join(F.broadcast(ids), "doc_id").select("text").repartition(4), "decontaminate-sample")
     queries = space.matrix([h for _, h, _ in space.items])
     basis = np.random.default_rng(2).normal(size=(len(space.terms), min(axes, len(space.terms)))).astype(np.float32)
     for _ in range(rounds):
@@ -224,12 +221,24 @@ def fitted(docs: DataFrame, benchmark: DataFrame, fit_docs: int = 2000, axes: in
             for batch in batches:
                 for _, data, offsets in B.pieces(batch):
                     total += back_projected(space, *space.passages(*words(data, offsets))[:3], now)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
-
-        parts = sorted(bytes(r[0]) for r in sample.mapInArrow(multiply, "part binary").collect())
-        # the corpus sample is scaled to the benchmark, whose passages must be told apart
-        corpus = sum((np.frombuffer(p, np.float32).reshape(now.shape) for p in parts), np.zeros(now.shape, np.float32))
-        scale = len(space.items) / max(1.0, float(sample.count()) * 30)
+            for lo in range(0, len(total), SUMMED):
+                if total[lo : lo + SUMMED].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([total[lo : lo + SUMMED].tobytes()], pa.binary())], ["first", "part"])
+
+        def add(table: pa.Table) -> pa.Table:
+            # in order, so that the sum and with it the axes agree between runs
+            parts = sorted(x.as_py() for x in table.column("part"))
+            total = np.zeros(len(parts[0]) // 4)
+            for x in parts:
+                total += np.frombuffer(x, np.float32)
+            total = total.astype(np.float32)
+            return pa.table({"first": [table.column("first")[0].as_py()], "part": pa.array([total.tobytes()], pa.binary())})
+
+        # the corpus is scaled to the benchmark, whose passages must be told apart
+        corpus = np.zeros(now.shape, np.float32)
+        for first, part in docs.select("text").mapInArrow(multiply, "first long, part binary").groupBy("first").applyInArrow(add, "first long, part binary").collect():
+            corpus[first : first + SUMMED] = np.frombuffer(bytes(part), np.float32).reshape(-1, now.shape[1])
+        scale = len(space.items) / max(1.0, float(counted.get(-1, 0)) * 30)
         basis = np.linalg.qr(back_projected(space, *queries, now) + scale * corpus)[0].astype(np.float32)
     space.axes = basis
     return space
