@@ -500,3 +500,38 @@ def test_axes_are_fitted_on_all_documents(spark):
     queries = space.matrix([h for _, h, _ in space.items])
     right = np.linalg.qr(real(space, *queries, basis) + len(space.items) / (len(texts) * 30) * corpus)[0]
     assert np.allclose(np.abs(space.axes), np.abs(right), atol=1e-4)
+
+
+def test_passages_in_blocks_equal_passages_one_by_one():
+    rng = np.random.default_rng(12)
+    bench = [(i, " ".join(f"w{x}" for x in rng.integers(0, 90, 30))) for i in range(12)]
+    space = decontaminate.Space(bench)
+    space.index(rng.random(len(space.known)) * 4 + 0.1)
+    # empty texts, short ones, one that ends at a block's end, words that come again within a passage and beyond
+    sizes = [0, 1, 15, 16, 17, 48, 49, 0, 64, 900, 5, 333]
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 20 if i % 2 else 200, n)) for i, n in enumerate(sizes)] + ["none known here", ""]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    h, of = decontaminate.words(data, offsets)
+    at, number = space.seen(h)
+    assert at.tolist() == [i for i, x in enumerate(h.tolist()) if x in set(space.known.tolist())] and (space.known[number] == h[at]).all()
+    basis = rng.normal(size=(len(space.terms), 7)).astype(np.float32)
+    scaled = basis * space.idf[:, None].astype(np.float32)
+    row, word, weight, text, begin = space.passages(h, of)
+    rows, x = space.project(row, word, weight, basis, 0)
+    want = np.zeros((len(text), 7))
+    want[rows] = x
+    right = decontaminate.back_projected(space, row, word, weight, basis)
+    for slab in (3, 1 << 14):
+        decontaminate.SLAB, before = slab, decontaminate.SLAB
+        try:
+            blocks = decontaminate.Passages(space, of, at, number)
+            assert blocks.text.tolist() == text.tolist() and blocks.begin.tolist() == begin.tolist()
+            assert np.allclose(np.concatenate([part[0] for part in blocks.projected(scaled)]), want, atol=1e-4)
+            total = np.zeros(basis.shape, np.float32)
+            blocks.add_back_projected(scaled, total)
+            assert np.allclose(total * space.idf[:, None], right, rtol=1e-4, atol=1e-3)
+        finally:
+            decontaminate.SLAB = before
+    nothing = decontaminate.Passages(space, np.zeros(3, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert list(nothing.projected(scaled)) == [] and len(nothing.text) == 0

@@ -36,8 +36,9 @@ RARE, RAREST = float(np.log(20)), 24
 AGREE = 4
 #: Bytes of a block of the benchmark.
 BLOCK_BYTES = 8 << 20
-#: Rows that are projected together; words whose parts, one of each task, are summed in one place.
-TOGETHER, SUMMED = 2048, 64
+#: Rows that are summed together, and of how many at most at once; passages that are projected together; words whose
+#: parts, one of each task, are summed in one place.
+TOGETHER, AT_ONCE, SLAB, SUMMED = 2048, 64, 1 << 14, 64
 LETTER = ((B.BYTES >= 0x30) & (B.BYTES <= 0x39)) | ((B.BYTES >= 0x61) & (B.BYTES <= 0x7A)) | (B.BYTES >= 0x80)
 ANSWER = re.compile(r"(?:^|\s)(?:answer|a)\s*:\s*(.+)$", re.I | re.S)
 
@@ -53,6 +54,32 @@ def hashes(text: str) -> np.ndarray:
     return words(raw, np.array([0, len(raw)]))[0]
 
 
+def summed(values: np.ndarray, at: np.ndarray, weight: np.ndarray | None, size: np.ndarray) -> np.ndarray:
+    """Row i: the sum of the next size[i] of values[at], each times its weight, if there are weights."""
+    parts = -(-size // AT_ONCE)
+    if (parts > 1).any():
+        owner = np.repeat(np.arange(len(size)), parts)
+        before = (np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)) * AT_ONCE
+        part = summed(values, at, weight, np.minimum(size[owner] - before, AT_ONCE))
+        return summed(part, np.arange(len(part)), None, parts)
+    # rows of many entries first: the j-th entries of some thousand rows are added at once, within the cache
+    out = np.empty((len(size), values.shape[1]), np.float32)
+    head, by = np.cumsum(size) - size, np.argsort(-size, kind="stable")
+    room = np.empty((min(TOGETHER, len(size)), values.shape[1]), np.float32)
+    for lo in range(0, len(by), TOGETHER):
+        rows = by[lo : lo + TOGETHER]
+        first, least = head[rows], -size[rows]
+        total = np.zeros((len(rows), values.shape[1]), np.float32)
+        for j, n in enumerate(np.searchsorted(least, -np.arange(-int(least[0]))).tolist()):
+            place = first[:n] + j
+            step = np.take(values, at[place], axis=0, out=room[:n], mode="clip")
+            if weight is not None:
+                step *= weight[place, None]
+            total[:n] += step
+        out[rows] = total
+    return out
+
+
 class Space:
     """The benchmark's passages, its words with their IDF, and the axes."""
 
@@ -60,6 +87,13 @@ class Space:
         self.items = [(i, hashes(t), hashes(m[1]) if (m := ANSWER.search(t)) else np.zeros(0, U)) for i, t in items]
         self.items = [x for x in self.items if len(x[1])]
         self.known = np.unique(np.concatenate([h for _, h, _ in self.items])) if self.items else np.zeros(0, U)
+        if self.items:
+            # by its first bits, a word is found at once, but where several known ones begin with them
+            bits = min(20, len(self.known).bit_length() + 4)
+            self.shift = U(64 - bits)
+            first = np.searchsorted(self.known, np.arange(1 << bits, dtype=U) << self.shift)
+            self.bucket = np.minimum(first, len(self.known) - 1).astype(np.int32)
+            self.crowded = np.diff(first, append=len(self.known)) > 1
         #: The items' words and their answers' by their numbers among the known.
         self.numbers = [(np.searchsorted(self.known, own), np.searchsorted(self.known, answer)) for _, own, answer in self.items]
         self.index(np.ones(len(self.known)))
@@ -72,6 +106,10 @@ class Space:
         x[rows] = found
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
+    def scaled_axes(self) -> np.ndarray:
+        """The axes times IDF."""
+        return self.axes * self.idf[:, None].astype(np.float32)
+
     def index(self, idf: np.ndarray) -> None:
         """Takes as terms the words of few documents, and of each benchmark passage its rarest whatever they are."""
         use = idf >= RARE
@@ -79,6 +117,7 @@ class Space:
             word = np.unique(np.searchsorted(self.known, h))
             use[word[np.argsort(-idf[word], kind="stable")[:RAREST]]] = True
         self.terms, self.idf = self.known[use], idf[use]
+        self.term_of = np.where(use, np.cumsum(use) - 1, -1)
         self.rarity = idf
 
     def post(self, common: float) -> None:
@@ -97,10 +136,18 @@ class Space:
         self.post_at = np.searchsorted(word[order], np.arange(len(self.known) + 1))
         self.sizes = np.array([len(h) for _, h, _ in self.items])
 
-    def together(self, h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, item and place in h wherever enough of an item's rarest words begin to stand together."""
-        at = np.flatnonzero(B.among(h, self.known))
-        word = np.searchsorted(self.known, h[at])
+    def seen(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h of known words, and their numbers."""
+        bucket = h >> self.shift
+        number = self.bucket[bucket]
+        rest = np.flatnonzero(self.crowded[bucket])
+        number[rest] = np.minimum(np.searchsorted(self.known, h[rest]), len(self.known) - 1)
+        at = np.flatnonzero(self.known[number] == h)
+        return at, number[at].astype(np.int64)
+
+    def together(self, h: np.ndarray, of: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, item and place in h wherever enough of an item's rarest words begin to stand together. at, word: what
+        seen() gives."""
         n = np.diff(self.post_at)[word]
         hit = np.repeat(np.arange(len(at)), n)
         item = self.posted[self.post_at[word][hit] + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)]
@@ -112,27 +159,33 @@ class Space:
         k = k[near]
         return doc[k], item[k], place[k]
 
-    def passages(self, h: np.ndarray, of: np.ndarray):
-        """For runs of texts: entries (passage, word, weight) of the TF-IDF matrix, and each passage's text and first
-        word. A passage is PER_PASSAGE blocks of BLOCK words; passages overlap in all but a block."""
+    def counts(self, of: np.ndarray) -> np.ndarray:
+        """Passages of each text: PER_PASSAGE blocks of BLOCK words, which overlap in all but a block."""
         n = np.diff(of)
-        blocks = -(-n // BLOCK)
-        count = np.where(n > 0, np.maximum(blocks - PER_PASSAGE + 1, 1), 0)
-        first = np.concatenate([[0], np.cumsum(count)])
-        at = np.flatnonzero(B.among(h, self.terms))
-        word = np.searchsorted(self.terms, h[at])
+        return np.where(n > 0, np.maximum(-(-n // BLOCK) - PER_PASSAGE + 1, 1), 0)
+
+    def entries(self, of: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage, term and how often it is there, of the terms `word` at the places `at`."""
+        count = self.counts(of)
+        first = np.cumsum(count) - count
         doc = B.owners(of)[at]
         block = (at - of[doc]) // BLOCK
-        entries = []
+        keys = []
         for back in range(PER_PASSAGE):
             p = block - back
             ok = (p >= 0) & (p < count[doc])
-            entries.append((first[doc[ok]] + p[ok]) * max(len(self.terms), 1) + word[ok])
-        key, tf = np.unique(np.concatenate(entries), return_counts=True)
-        passage, word = np.divmod(key, max(len(self.terms), 1))
-        weight = (1 + np.log(tf)) * self.idf[word]
+            keys.append((first[doc[ok]] + p[ok]) * max(len(self.terms), 1) + word[ok])
+        key, tf = np.unique(np.concatenate(keys), return_counts=True)
+        return *np.divmod(key, max(len(self.terms), 1)), tf
+
+    def passages(self, h: np.ndarray, of: np.ndarray):
+        """For runs of texts, one by one what Passages has in blocks: entries (passage, word, weight) of the TF-IDF
+        matrix, and each passage's text and first word."""
+        at = np.flatnonzero(B.among(h, self.terms))
+        passage, word, tf = self.entries(of, at, np.searchsorted(self.terms, h[at]))
+        first = np.append(0, np.cumsum(self.counts(of)))
         text = B.owners(first)
-        return passage, word, weight, text, of[text] + (np.arange(first[-1]) - first[text]) * BLOCK
+        return passage, word, (1 + np.log(tf)) * self.idf[word], text, of[text] + (np.arange(first[-1]) - first[text]) * BLOCK
 
     def matrix(self, hashes_: list[np.ndarray]):
         of = np.concatenate([[0], np.cumsum([len(h) for h in hashes_])])
@@ -148,24 +201,88 @@ class Space:
             return row, np.zeros((0, basis.shape[1]), np.float32)
         head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         size = np.diff(np.append(head, len(row)))
-        weight32 = weight.astype(np.float32)
-        x = np.empty((len(head), basis.shape[1]), np.float32)
-        # rows of many entries first: the j-th entries of some thousand rows are added at once, within the cache
-        by = np.argsort(-size, kind="stable")
-        for lo in range(0, len(by), TOGETHER):
-            part = by[lo : lo + TOGETHER]
-            first, least = head[part], -size[part]
-            total = np.zeros((len(part), basis.shape[1]), np.float32)
-            for j in range(-int(least[0])):
-                at = first[: np.searchsorted(least, -j)] + j
-                step = basis[word[at]]
-                step *= weight32[at, None]
-                total[: len(at)] += step
-            x[part] = total
+        x = summed(basis, word, weight.astype(np.float32), size)
         length = np.sqrt(np.add.reduceat(weight * weight, head))
         return row[head], x / length[:, None].astype(np.float32)
 
 
+class Passages:
+    """The passages of runs of texts on axes. A passage is the sum of its blocks, so a word is taken once for its block
+    and not for each passage; only for words that a passage has more than once, there is something to set right."""
+
+    def __init__(self, space: Space, of: np.ndarray, at: np.ndarray, number: np.ndarray):
+        """at, number: what space.seen() gives."""
+        word = space.term_of[number]
+        at, word = at[word >= 0], word[word >= 0]
+        count = space.counts(of)
+        first = np.append(0, np.cumsum(count))
+        self.text = B.owners(first)
+        nth = np.arange(first[-1]) - first[self.text]
+        self.begin = of[self.text] + nth * BLOCK
+        # a text has blocks for all that its passages hold, full or not
+        blocks = np.where(count > 0, count + PER_PASSAGE - 1, 0)
+        base = np.cumsum(blocks) - blocks
+        self.from_block = base[self.text] + nth
+        doc = B.owners(of)[at]
+        self.block, self.word = base[doc] + (at - of[doc]) // BLOCK, word
+        end = int(blocks.sum())
+        key = word * (end + PER_PASSAGE) + self.block
+        order = np.argsort(key, kind="stable")
+        close = np.diff(key[order]) < PER_PASSAGE
+        again = np.zeros(len(at), bool)
+        again[order[1:][close]] = again[order[:-1][close]] = True
+        passage, word, tf = space.entries(of, at[again], word[again])
+        many = tf > 1
+        self.passage, self.again, tf = passage[many], word[many], tf[many]
+        self.less = (1 + np.log(tf) - tf).astype(np.float32)
+        square = np.bincount(self.block, space.idf[self.word] ** 2, minlength=end)
+        more = ((1 + np.log(tf)) ** 2 - tf) * space.idf[self.again] ** 2
+        total = np.bincount(self.passage, more, minlength=first[-1]).astype(float)
+        for j in range(PER_PASSAGE):
+            total += square[self.from_block + j]
+        # a passage without terms is zero on all axes
+        self.length = np.sqrt(np.where(total > 0, total, np.inf)).astype(np.float32)[:, None]
+
+    def projected(self, basis: np.ndarray):
+        """Slabs: their passages' coordinates divided by their lengths in the whole space, and where the slab is: its
+        passages, words, words that are there again, and first block of each passage and of all. basis: times IDF."""
+        for lo in range(0, len(self.text), SLAB):
+            own = slice(lo, min(lo + SLAB, len(self.text)))
+            g, end = self.from_block[lo], self.from_block[own.stop - 1] + PER_PASSAGE
+            words_ = slice(*np.searchsorted(self.block, [g, end]))
+            more = slice(*np.searchsorted(self.passage, [lo, own.stop]))
+            y = summed(basis, self.word[words_], None, np.bincount(self.block[words_] - g, minlength=end - g))
+            block = self.from_block[own] - g
+            n = len(y) - PER_PASSAGE + 1
+            x = y[:n].copy()
+            for j in range(1, PER_PASSAGE):
+                x += y[j : n + j]
+            x = x[block] if n > len(block) else x
+            row, size = np.unique(self.passage[more] - lo, return_counts=True)
+            x[row] += summed(basis, self.again[more], self.less[more], size)
+            x /= self.length[own]
+            yield x, own, words_, more, block, g
+
+    def add_back_projected(self, basis: np.ndarray, total: np.ndarray) -> None:
+        """Adds A' A basis, its rows divided by IDF, for the passages' matrix A, its rows scaled to length 1. basis:
+        times IDF."""
+        for x, own, words_, more, block, g in self.projected(basis):
+            x /= self.length[own]
+            n = block[-1] + 1
+            y = np.zeros((n + PER_PASSAGE - 1, x.shape[1]), np.float32)
+            spread = x
+            if n > len(block):
+                spread = np.zeros((n, x.shape[1]), np.float32)
+                spread[block] = x
+            for j in range(PER_PASSAGE):
+                y[j : n + j] += spread
+            for values, at, word, weight in ((y, self.block[words_] - g, self.word[words_], None), (x, self.passage[more] - own.start, self.again[more], self.less[more])):
+                order = np.argsort(word.astype(np.min_scalar_type(len(total))), kind="stable")
+                size = np.bincount(word, minlength=len(total))
+                row = np.flatnonzero(size)
+                total[row] += summed(values, at[order], None if weight is None else weight[order], size[row])
+
+
 def back_projected(space: Space, row: np.ndarray, word: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A' A basis for the rows' matrix A, its rows scaled to length 1."""
     rows, x = space.project(row, word, weight, basis, 0)
@@ -201,8 +318,8 @@ def fitted(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, rounds: int
 
     def count(rows, data, offsets):
         h, of = words(data, offsets)
-        at = np.flatnonzero(B.among(h, known))
-        pairs = np.unique(B.owners(of)[at] * len(known) + np.searchsorted(known, h[at]))
+        at, word = space.seen(h)
+        pairs = np.unique(B.owners(of)[at] * len(known) + word)
         n = np.bincount(pairs % len(known), minlength=len(known))
         word = np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(np.append(word, -1)), pa.array(np.append(n[word], rows.num_rows))], ["word", "n"])
@@ -217,10 +334,13 @@ def fitted(docs: DataFrame, benchmark: DataFrame, axes: int = AXES, rounds: int
         now = basis
 
         def multiply(batches):
-            total = np.zeros(now.shape, np.float32)
+            idf = space.idf[:, None].astype(np.float32)
+            total, scaled = np.zeros(now.shape, np.float32), now * idf
             for batch in batches:
                 for _, data, offsets in B.pieces(batch):
-                    total += back_projected(space, *space.passages(*words(data, offsets))[:3], now)
+                    h, of = words(data, offsets)
+                    Passages(space, of, *space.seen(h)).add_back_projected(scaled, total)
+            total *= idf
             for lo in range(0, len(total), SUMMED):
                 if total[lo : lo + SUMMED].any():
                     yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([total[lo : lo + SUMMED].tobytes()], pa.binary())], ["first", "part"])
@@ -258,20 +378,21 @@ def common_in_order(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def leaks_in(space: Space, q: np.ndarray, data: np.ndarray, offsets: np.ndarray, cosine: float, common: float) -> list[tuple[int, int, float, int, int]]:
-    """(text, item, share, first word, end word) of each place. q: space.queries()."""
+def leaks_in(space: Space, q: np.ndarray, axes: np.ndarray, data: np.ndarray, offsets: np.ndarray, cosine: float, common: float) -> list[tuple[int, int, float, int, int]]:
+    """(text, item, share, first word, end word) of each place. q: space.queries(); axes: space.scaled_axes()."""
     h, of = words(data, offsets)
-    passage, word, weight, text, begin = space.passages(h, of)
-    found, x = space.project(passage, word, weight, space.axes, 0)
+    at, word = space.seen(h)
+    passages = Passages(space, of, at, word)
     best: dict[tuple[int, int], list[int]] = {}
-    for lo in range(0, len(found), 4096):
-        near, item = np.nonzero(x[lo : lo + 4096] @ q.T >= cosine)
-        for p, i in zip(found[lo + near].tolist(), item.tolist()):
-            best.setdefault((int(text[p]), i), []).append(int(begin[p]))
+    for x, own, *_ in passages.projected(axes):
+        for lo in range(0, len(x), 4096):
+            near, item = np.nonzero(x[lo : lo + 4096] @ q.T >= cosine)
+            near += own.start + lo
+            for doc, begin, i in zip(passages.text[near].tolist(), passages.begin[near].tolist(), item.tolist()):
+                best.setdefault((doc, i), []).append(begin)
     out = []
-    number = np.searchsorted(space.known, h)
-    number[number == len(space.known)] = 0
-    known = space.known[number] == h
+    known, number = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    known[at], number[at] = True, word
     here = np.zeros(len(space.known), bool)
 
     def look(doc: int, i: int, lo: int, hi: int) -> bool:
@@ -308,7 +429,7 @@ def leaks_in(space: Space, q: np.ndarray, data: np.ndarray, offsets: np.ndarray,
             hi = s + BLOCK * PER_PASSAGE
     # the exact way; a run of places is cut after an item's length, so that what is looked through stays short
     run = (-1, -1, 0, 0)
-    for doc, i, s in [*zip(*(x.tolist() for x in space.together(h, of))), (-1, -1, 0)]:
+    for doc, i, s in [*zip(*(x.tolist() for x in space.together(h, of, at, word))), (-1, -1, 0)]:
         if run[:2] == (doc, i) and s <= run[2] + len(space.items[i][1]):
             run = (doc, i, run[2], s + BLOCK * PER_PASSAGE)
             continue
@@ -332,11 +453,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
 
     def found(space: Space) -> DataFrame:
-        queries = space.queries()
+        queries, axes = space.queries(), space.scaled_axes()
         space.post(common)
 
         def run(rows, data, offsets):
-            columns = list(zip(*leaks_in(space, queries, data, offsets, cosine, common))) or [[]] * 5
+            columns = list(zip(*leaks_in(space, queries, axes, data, offsets, cosine, common))) or [[]] * 5
             at, *rest = (pa.array(c, t) for c, t in zip(columns, kinds))
             return pa.RecordBatch.from_arrays([rows.column("doc_id").take(at), *rest], ["doc_id", "item_id", "share", "first_word", "end_word"])
 
@@ -355,12 +476,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def clean(space: Space):
-        queries = space.queries()
+        queries, axes = space.queries(), space.scaled_axes()
         space.post(common)
 
         def keep(data, offsets):
             ok = np.ones(len(offsets) - 1, bool)
-            for place in leaks_in(space, queries, data, offsets, cosine, common):
+            for place in leaks_in(space, queries, axes, data, offsets, cosine, common):
                 ok[place[0]] = False
             return ok
 
