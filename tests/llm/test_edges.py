@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -535,3 +536,38 @@ def test_passages_in_blocks_equal_passages_one_by_one():
             decontaminate.SLAB = before
     nothing = decontaminate.Passages(space, np.zeros(3, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     assert list(nothing.projected(scaled)) == [] and len(nothing.text) == 0
+
+
+def test_lowest_of_windows_against_sorting():
+    rng = np.random.default_rng(13)
+    for least, many in ((1, 1), (2, 2), (3, 2), (7, 6), (13, 13), (46, 6), (46, 1), (64, 20)):
+        x = rng.permutation(least + 90).astype(np.uint64)
+        want = np.sort(np.lib.stride_tricks.sliding_window_view(x, least), axis=1)[:, :many]
+        assert np.array_equal(np.stack(compact_windows.lowest(x, least, many), axis=1), want)
+
+
+def test_sifted_spans_keep_all_links():
+    rng = np.random.default_rng(14)
+    least, dropped, linked = 20, 0, 0
+    for case in range(60):
+        base = [rng.integers(0, 1 << 32, 24) for _ in range(4)]
+        spans, group, class_ = [], [], []
+        for i in range(40):
+            x = base[rng.integers(0, 4)][: rng.integers(20, 25)].copy()
+            # the same line in all; some words or nearly all of them are others; in some cases words come again
+            x[rng.random(len(x)) < rng.choice([0, 0.06, 0.9])] = rng.integers(0, 5 if case % 3 == 0 else 1 << 32)
+            x[:2] = 7
+            spans.append(x)
+            group.append(i % 3)
+            class_.append(int(rng.integers(0, 12)))
+        size, group, class_ = np.array([len(x) for x in spans]), np.array(group), np.array(class_)
+        left = compact_windows.sifted(group, class_, np.concatenate(spans).astype(np.uint32), size, least, 0.8)
+        dropped += len(spans) - len(left)
+        need = compact_windows.needed(least, 0.8)
+        for i, j in combinations(range(len(spans)), 2):
+            if group[i] == group[j] and class_[i] != class_[j]:
+                windows = [[Counter(x[a : a + least].tolist()) for a in range(len(x) - least + 1)] for x in (spans[i], spans[j])]
+                if any((a & b).total() >= need for a in windows[0] for b in windows[1]):
+                    linked += 1
+                    assert i in left and j in left
+    assert linked > 500 and dropped > 500
