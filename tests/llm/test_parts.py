@@ -1,6 +1,7 @@
 """The parts that operators are made of, against plain versions of them."""
 
 import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trailmark.llm import bytesops as B
+from trailmark.llm import quality_net
 from trailmark.llm.elias_fano import EliasFano
 from trailmark.llm.exchange import Records
 from trailmark.llm.induced_sort import suffix_array
@@ -135,3 +137,26 @@ def test_triples_are_merged_in_little_memory():
     assert np.array_equal(found[0] | found[1], keys) and np.array_equal(found[2], n)
     assert all(np.array_equal(a, b) for a, b in zip(found, merged_triples(pair, third, np.ones(len(pair), np.uint8))))
     assert peak < 36 * len(pair)
+
+
+def test_quality_brings_one_sum_of_word_vectors_to_the_driver(spark, monkeypatch):
+    texts = [" ".join(f"w{i * j % 37}" for j in range(i % 50 + 1)) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    kind, came = type(docs), []
+    collect = kind.collect
+
+    def noted(self):
+        out = collect(self)
+        came.append(sum(len(v) for r in out for v in r if isinstance(v, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(kind, "collect", noted)
+    vectors, _ = quality_net.trained(docs, marks)
+    whole = quality_net.BUCKETS * quality_net.DIM * 4
+    assert whole <= sum(came) < 1.5 * whole  # with one for each task: 8 times as much
+    learned = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    index, into = quality_net.index_vectors(), np.zeros((quality_net.BUCKETS, quality_net.DIM))
+    raw = [t.encode() for t in learned]
+    quality_net.contexts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), index, into)
+    assert np.allclose(vectors, index + 0.5 * into / np.maximum(np.linalg.norm(into, axis=1, keepdims=True), 1e-6), atol=1e-5)

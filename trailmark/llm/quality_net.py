@@ -12,7 +12,6 @@ Only the text is an input of a score.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +22,8 @@ from .space import written
 DIM = 64
 BUCKETS = 1 << 14
 BLOCK = 1 << 15
+#: Buckets whose parts, one of each task, are summed in one place.
+SUMMED = 256
 KINDS = np.zeros(256, np.uint8)
 KINDS[48:58], KINDS[65:91], KINDS[97:123], KINDS[128:] = 1, 2, 4, 4
 KINDS[list(b"!?;:=+~^_@{}[]()/\\\"'")] = 8
@@ -145,18 +146,13 @@ def fold(doc_id: str = "doc_id") -> Column:
 def pooled_rows(docs: DataFrame, vectors: np.ndarray) -> DataFrame:
     def run(rows, data, offsets):
         x = pooled(data, offsets, vectors)
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "x"])
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "x"])
 
-    return docs.mapInArrow(B.mapped(run), "doc_id long, x array<double>")
+    return docs.mapInArrow(B.mapped(run), "doc_id long, x binary")
 
 
-def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[np.ndarray, Network]:
-    """Word vectors and network from at most fit_rows labelled rows outside the held-out fold. docs: doc_id, text."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1))
-    known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).toPandas()
-    few = docs.sparkSession.createDataFrame(ids if len(ids) else pd.DataFrame({"doc_id": [], "quality": []}), "doc_id long, quality int")
-    sample = written(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text").repartition(8), "quality-sample")
+def word_vectors(sample: DataFrame) -> np.ndarray:
+    """Each bucket's index vector and, scaled, the sum of those around it in the sample's texts."""
     index = index_vectors()
 
     def gather(batches):
@@ -165,19 +161,38 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[n
             for _, data, offsets in B.pieces(batch):
                 contexts(data, offsets, index, into)
                 n += 1
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([into.astype(np.float32).tobytes()], pa.binary())], ["part"])
-
-    # ordered, so that the sum and with it the scores agree between runs
-    parts = sorted(bytes(r[0]) for r in sample.select("text").coalesce(8).mapInArrow(gather, "part binary").collect())
-    context = sum((np.frombuffer(p, np.float32).reshape(BUCKETS, DIM) for p in parts), np.zeros((BUCKETS, DIM)))
-    norm = np.linalg.norm(context, axis=1, keepdims=True)
-    vectors = (index + context / np.maximum(norm, 1e-6) * 0.5).astype(np.float32)
+        for lo in range(0, BUCKETS if n else 0, SUMMED):
+            yield pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([into[lo : lo + SUMMED].astype(np.float32).tobytes()], pa.binary())], ["first", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        # ordered, so that the sum and with it the scores agree between runs
+        total = np.zeros((SUMMED, DIM))
+        for part in sorted(x.as_py() for x in table.column("part")):
+            total += np.frombuffer(part, np.float32).reshape(-1, DIM)
+        total *= 0.5 / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-6)
+        return pa.table({"first": [table.column("first")[0].as_py()], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    vectors = index.copy()
+    parts = sample.select("text").coalesce(8).mapInArrow(gather, "first long, part binary").groupBy("first").applyInArrow(add, "first long, part binary")
+    for first, part in parts.collect():
+        vectors[first : first + SUMMED] += np.frombuffer(bytes(part), np.float32).reshape(-1, DIM)
     if not np.isfinite(vectors).all():
         raise FloatingPointError("word vectors are not finite")
+    return vectors
+
+
+def trained(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[np.ndarray, Network]:
+    """Word vectors and network from at most fit_rows labelled rows outside the held-out fold. docs: doc_id, text."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 1))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
+    # chosen and summed by tasks: only the rows chosen and one sum come to the driver
+    few = written(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows), "quality-few")
+    sample = written(docs.join(F.broadcast(few), "doc_id").select("doc_id", "text").repartition(8), "quality-sample")
+    vectors = word_vectors(sample)
 
+    ids = few.toPandas()
     rows = pooled_rows(sample, vectors).toPandas().drop_duplicates("doc_id").merge(ids, on="doc_id").sort_values("doc_id")
-    x = np.stack(rows.x) if len(rows) else np.zeros((0, DIM + 1))
+    x = np.stack([np.frombuffer(v) for v in rows.x]) if len(rows) else np.zeros((0, DIM + 1))
     y = rows.quality.to_numpy().astype(float)
     aside = rows.doc_id.to_numpy() % 5 == 0
     net = Network(x[~aside], y[~aside])
