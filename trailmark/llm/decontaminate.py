@@ -45,8 +45,8 @@ ANSWER = re.compile(r"(?:^|\s)(?:answer|a)\s*:\s*(.+)$", re.I | re.S)
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = B.lowered(data)
-    start, end = B.spans(LETTER[low], offsets)
-    return B.span_hash(low, start, end), B.bounds(start, offsets)
+    start, end = B.spans(B.translated(low, LETTER).view(bool), offsets)
+    return B.short_hash(low, start, end), B.bounds(start, offsets)
 
 
 def hashes(text: str) -> np.ndarray:
