@@ -192,3 +192,11 @@ def test_words_are_hashed_without_a_sum_over_all_bytes():
         return min(took)
 
     assert least(lambda: decontaminate.words(data, offsets)) < 0.6 * least(summed)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, (1 << 63) - 1)), max_size=60))
+def test_keys_are_sorted_with_their_order(values):
+    key = np.array(values, np.int64)
+    found, order = B.sorted_with_order(key)
+    assert order.tolist() == np.argsort(key, kind="stable").tolist() and found.tolist() == sorted(values)

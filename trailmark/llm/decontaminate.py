@@ -138,11 +138,11 @@ class Space:
 
     def seen(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in h of known words, and their numbers."""
-        bucket = h >> self.shift
-        number = self.bucket[bucket]
-        rest = np.flatnonzero(self.crowded[bucket])
+        bucket = (h >> self.shift).view(np.int64)
+        number = self.bucket.take(bucket, mode="clip")
+        rest = np.flatnonzero(self.crowded.take(bucket, mode="clip"))
         number[rest] = np.minimum(np.searchsorted(self.known, h[rest]), len(self.known) - 1)
-        at = np.flatnonzero(self.known[number] == h)
+        at = np.flatnonzero(self.known.take(number, mode="clip") == h)
         return at, number[at].astype(np.int64)
 
     def together(self, h: np.ndarray, of: np.ndarray, at: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,9 +226,8 @@ class Passages:
         doc = B.owners(of)[at]
         self.block, self.word = base[doc] + (at - of[doc]) // BLOCK, word
         end = int(blocks.sum())
-        key = word * (end + PER_PASSAGE) + self.block
-        order = np.argsort(key, kind="stable")
-        close = np.diff(key[order]) < PER_PASSAGE
+        key, order = B.sorted_with_order(word * (end + PER_PASSAGE) + self.block)
+        close = np.diff(key) < PER_PASSAGE
         again = np.zeros(len(at), bool)
         again[order[1:][close]] = again[order[:-1][close]] = True
         passage, word, tf = space.entries(of, at[again], word[again])
