@@ -1,6 +1,7 @@
 """What queries had wrong beside their SQL, on rows worked out by hand."""
 
 from trailmark.functions import html
+from trailmark.operators import crawl
 
 
 def test_only_whole_references_are_characters():
@@ -10,3 +11,10 @@ def test_only_whole_references_are_characters():
     assert html.outline_of("<body><h2>cut &am</h2><h2>cut &amp</h2></body>", "")[0] == ["cut &am", "cut &amp"]
     # code is not decoded, and its marks stay as they are
     assert html.parse("<title>t</title><body><h1>a<script>b && c &amp d</script></h1></body>", "")[1] == ["a b && c &amp d"]
+
+
+def test_pages_of_one_url_are_recorded_apart(spark):
+    replies = spark.createDataFrame([(i, "https://h.example/", 200, "text/html", "", "<title>t</title>") for i in (1, 2, 3)], "page_id long, url string, status int, content_type string, final_url string, body string")
+    pages = spark.createDataFrame([(1, "https://h.example/", True, "read"), (2, "https://h.example/", True, "read"), (3, "https://h.example/", False, None)], "page_id long, url string, visited boolean, snippet string")
+    assert sorted(str(r.title) for r in crawl.recorded(replies, pages, 0.0, "page_id").collect()) == ["None", "None", "t"]
+    assert [r.title for r in crawl.recorded(replies, pages, 0.0).collect()] == [None] * 3  # by URL: no row twice

@@ -144,15 +144,16 @@ def content_kind(content_type: Column) -> Column:
     return F.when(media == "application/pdf", "pdf").when(media != "", "file")
 
 
-def recorded(replies: DataFrame, pages: DataFrame, now: float) -> DataFrame:
+def recorded(replies: DataFrame, pages: DataFrame, now: float, key: str = "url") -> DataFrame:
     """url, crawled_at, fetch_status, kind, title, snippet, headings: the columns to write for each reply; null: leave
-    as it is. A sign-in page counts as 401, and text read in the browser is not replaced."""
+    as it is. A sign-in page counts as 401, and text read in the browser is not replaced. key: what pages and replies
+    have in common."""
     rows = replies.withColumn("login", H.has_login_form(F.col("body")))
     page = (F.col("status") == 200) & is_html(F.col("content_type")) & F.col("body").isNotNull()
     rows = rows.withColumns({"page": page & ~F.col("login"), "fetch_status": F.when(page & F.col("login"), 401).otherwise(F.col("status"))})
     rows = rows.withColumn("parsed", H.parsed(F.when(F.col("page"), F.col("body")), F.coalesce(F.nullif("final_url", F.lit("")), "url")))
-    read = pages.where(F.col("visited") & (F.coalesce("snippet", F.lit("")) != "")).select("url", F.lit(True).alias("read"))
-    rows = rows.join(read, "url", "left")
+    read = pages.where(F.col("visited") & (F.coalesce("snippet", F.lit("")) != "")).select(key).distinct().withColumn("read", F.lit(True))
+    rows = rows.join(read, key, "left")
     take = F.col("page") & F.col("read").isNull()
     other = F.when((F.col("fetch_status") == 200) & ~F.col("page"), content_kind(F.col("content_type")))
     return rows.select(
