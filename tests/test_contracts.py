@@ -2,6 +2,7 @@
 
 from trailmark.functions import html
 from trailmark.operators import crawl
+from trailmark.streaming.visits import captures
 
 
 def test_only_whole_references_are_characters():
@@ -18,3 +19,10 @@ def test_pages_of_one_url_are_recorded_apart(spark):
     pages = spark.createDataFrame([(1, "https://h.example/", True, "read"), (2, "https://h.example/", True, "read"), (3, "https://h.example/", False, None)], "page_id long, url string, visited boolean, snippet string")
     assert sorted(str(r.title) for r in crawl.recorded(replies, pages, 0.0, "page_id").collect()) == ["None", "None", "t"]
     assert [r.title for r in crawl.recorded(replies, pages, 0.0).collect()] == [None] * 3  # by URL: no row twice
+
+
+def test_visits_at_one_time_have_their_own_captures(spark):
+    visits = spark.createDataFrame([(1, 7, "u", 0.0, 30.0), (2, 7, "u", 0.0, 30.0), (3, 7, "u", 1.0, 30.0)], "event_id long, user_id long, url string, start_s double, duration_s double")
+    texts = spark.createDataFrame([(e, 7, "u", s + after, f"{e}") for e, s in ((1, 0.0), (2, 0.0), (3, 1.0)) for after in (2.0, 4.0)], "event_id long, user_id long, url string, ts_s double, text string")
+    got = captures(visits, texts, visit="event_id").select("start_s", "turn", "ts_s", "text").collect()
+    assert sorted(map(tuple, got)) == [(0.0, 0, 4.0, "1"), (0.0, 0, 4.0, "2"), (1.0, 0, 5.0, "3")]

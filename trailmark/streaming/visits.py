@@ -89,13 +89,14 @@ def ingest(ticks: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     return visit_stream(ticks).writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def captures(visits: DataFrame, texts: DataFrame, at_s: tuple[float, ...] = CAPTURE_AT_S) -> DataFrame:
+def captures(visits: DataFrame, texts: DataFrame, at_s: tuple[float, ...] = CAPTURE_AT_S, visit: str | None = None) -> DataFrame:
     """Of what a page's text was at times (texts: user_id, ts_s, url, text), the readings that count: of each visit
     (user_id, url, start_s, duration_s) the first one from each of at_s on and after the one before, until one of them
-    has text. user_id, url, start_s, turn (from 0), ts_s, text. A visit that ends before has none."""
-    key = ["user_id", "url", "start_s"]
+    has text. user_id, url, start_s, turn (from 0), ts_s, text. A visit that ends before has none. visit: a column that
+    tells visits apart, if texts say in which of them they were read; else they are matched by URL and time."""
+    key = ["user_id", "url", "start_s", *([visit] if visit else [])]
     end = F.col("start_s") + F.col("duration_s")
-    rows = visits.select(*key, end.alias("end_s")).join(texts, ["user_id", "url"]).where(F.col("ts_s").between(F.col("start_s") + at_s[0], F.col("end_s")))
+    rows = visits.select(*key, end.alias("end_s")).join(texts, ["user_id", "url", *([visit] if visit else [])]).where(F.col("ts_s").between(F.col("start_s") + at_s[0], F.col("end_s")))
     rows = rows.select(*key, "ts_s", F.coalesce("text", F.lit("")).alias("text"))
     out = None
     for turn, s in enumerate(at_s):
