@@ -1,7 +1,12 @@
 """What queries had wrong beside their SQL, on rows worked out by hand."""
 
-from trailmark.functions import html
-from trailmark.operators import crawl
+import pyarrow as pa
+import pytest
+
+from tests.oracle import SF, there
+from trailmark.functions import html, text
+from trailmark.operators import crawl, index, places
+from trailmark.plans import catalogue
 from trailmark.streaming.visits import captures
 
 
@@ -26,3 +31,41 @@ def test_visits_at_one_time_have_their_own_captures(spark):
     texts = spark.createDataFrame([(e, 7, "u", s + after, f"{e}") for e, s in ((1, 0.0), (2, 0.0), (3, 1.0)) for after in (2.0, 4.0)], "event_id long, user_id long, url string, ts_s double, text string")
     got = captures(visits, texts, visit="event_id").select("start_s", "turn", "ts_s", "text").collect()
     assert sorted(map(tuple, got)) == [(0.0, 0, 4.0, "1"), (0.0, 0, 4.0, "2"), (1.0, 0, 5.0, "3")]
+
+
+def test_python_holds_a_piece_of_a_batch_at_a_time():
+    rows = pa.array([f"<title>é{i}</title>" for i in range(300)])
+    assert [len(x) for x in html.parsed.func(iter([(rows, rows)]))] == [128, 128, 44]
+    assert [len(x) for x in html.outline.func(iter([(rows, rows)]))] == [128, 128, 44]
+    out = [*text._plain.func(iter([rows, rows]))]
+    assert [len(x) for x in out] == [128, 128, 44] * 2 and out[3][0].as_py() == "<title>e0</title>"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not there, reason="no test tables")
+@pytest.mark.parametrize("name", ["page_label", "alias_boost", "crawl_budget", "linking_site", "changed_names", "applicable_picks"])
+def test_pages_are_parsed_once(spark, name):
+    assert "parsed(" not in plan(catalogue.QUERIES[name](spark, SF))
+
+
+@pytest.mark.skipif(not there, reason="no test tables")
+def test_visits_and_hubs_are_made_once(spark):
+    assert "Window" not in plan(catalogue._flagged(spark, SF)) and "Join" not in plan(catalogue._stand_ins(spark, SF))
+    assert "Window" not in plan(catalogue.hub_stats(spark, SF)) and "count(distinct q" not in plan(catalogue.hub_stats(spark, SF))
+
+
+def test_hub_statistics_count_what_is_distinct(spark):
+    rows = [(1, "https://h.example/s?q=a", 0.0, 5.0), (1, "https://h.example/s?q=a", 1.0, 50.0), (1, "https://h.example/s?q=a", 86400.0, 0.0), (1, "https://h.example/s?q=b", 86401.0, 1.0)]
+    visits = spark.createDataFrame([(*r, None) for r in rows], "user_id long, url string, ts_s double, duration_s double, from_url string")
+    got = places.hub_statistics(visits).first()
+    assert (got.n_visits, got.distinct_share, got.brief_share, got.n_origins) == (4, 0.666667, 0.666667, 0)
+
+
+def test_lists_of_tokens_are_the_postings(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "B c"), (2, ""), (3, None)], "doc_id long, text string")
+    lists = index.token_lists(docs, "doc_id", ["text"])
+    assert sorted(map(tuple, index.placed(lists).collect())) == sorted(map(tuple, index.postings(docs, "doc_id", ["text"]).collect()))
+    assert lists.count() == 4 and sorted(index.doc_stats(docs.select("doc_id").distinct(), lists).collect()) == [(1, 5), (2, 0), (3, 0)]

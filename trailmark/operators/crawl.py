@@ -7,6 +7,7 @@ one for the web), or a table of replies.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import batched
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -21,6 +22,8 @@ from ..sources.shared import settled
 from .fetch import AGENT, DELAY_S, Robots, politely
 
 REPLY = "url string, status int, content_type string, final_url string, body string"
+#: Replies that a task holds at once.
+REPLIES = 128
 
 
 def requests(captures: DataFrame, pages: DataFrame, now: float, refresh_s: float = DEFAULT.refresh_s) -> DataFrame:
@@ -90,7 +93,8 @@ def fetched(targets: DataFrame, fetch: Callable[[str], tuple], delay_s: float =
     def run(batches):
         for batch in batches:
             wanted = (u for u in batch["url"] if robots is None or robots.allowed(u))
-            yield pd.DataFrame(list(politely(wanted, fetch, delay_s)), columns=["url", "status", "content_type", "final_url", "body"])
+            for some in batched(politely(wanted, fetch, delay_s), REPLIES):
+                yield pd.DataFrame(some, columns=["url", "status", "content_type", "final_url", "body"])
 
     turn = F.col("turn") if "turn" in targets.columns else F.lit(0)
     rows = targets.select("url", urls.origin(F.col("url")).alias("site"), turn.alias("turn"))
