@@ -17,7 +17,7 @@ class Cycle:
 
     def __init__(self, seen: DataFrame, now: float, zone: str = "UTC"):
         self.now, self.zone = now, zone
-        self.visits = visits.window_of(seen, now)
+        self.visits = settled(visits.window_of(seen, now))
         self.hubs = places.hubs(self.visits)
         self.flagged = settled(places.with_hub_flags(self.visits, self.hubs))
         self.regular = places.group(visits.url_days(self.flagged.where("not on_hub"), zone))
@@ -31,7 +31,7 @@ class Cycle:
     def places(self) -> DataFrame:
         """One row for each place: its features, score, status and alias."""
         member = self.placed()
-        rows = self.flagged.join(member, ["user_id", "url"])
+        rows = settled(self.flagged.join(member, ["user_id", "url"]))
         feats = scoring.place_features(scoring.with_arrivals(rows), ["user_id", "scope", "origin", "path_prefix", "is_hub"], self.now, zone=self.zone)
         status = F.when(F.col("is_hub"), "hub").otherwise(scoring.status(F.col("revisit"), F.col("last_visit"), self.now))
         return feats.withColumns({"status": status, "alias": urls.alias(F.col("origin"), F.col("path_prefix"))})
