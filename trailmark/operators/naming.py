@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls
+from ..sources.shared import settled
 from . import graph
 
 # Separators, unread counts, titles and link texts that are no names, and how many pages share a habit.
@@ -67,7 +68,7 @@ def generic_titles(cleaned: DataFrame) -> DataFrame:
 
 def names(pages: DataFrame, links: DataFrame) -> DataFrame:
     """url, name. pages: page_id, url, title, headings (array); links: to_id, anchor, link_seq."""
-    cleaned = with_clean_titles(pages)
+    cleaned = settled(with_clean_titles(pages))
     generic = generic_titles(cleaned).select("host", "lowered", F.lit(True).alias("generic"))
     rows = cleaned.withColumn("lowered", F.lower("clean")).join(generic, ["host", "lowered"], "left").join(graph.first_anchors(links, NO_NAME), "page_id", "left")
     usable = (F.col("clean") != "") & ~F.col("clean").rlike(DEFAULT_TITLE)
