@@ -69,3 +69,17 @@ def test_lists_of_tokens_are_the_postings(spark):
     lists = index.token_lists(docs, "doc_id", ["text"])
     assert sorted(map(tuple, index.placed(lists).collect())) == sorted(map(tuple, index.postings(docs, "doc_id", ["text"]).collect()))
     assert lists.count() == 4 and sorted(index.doc_stats(docs.select("doc_id").distinct(), lists).collect()) == [(1, 5), (2, 0), (3, 0)]
+
+
+def test_few_words_leave_few_postings(spark):
+    posts = spark.createDataFrame([(1, "text", i, f"w{i}") for i in range(2000)], "doc_id long, field string, pos int, token string")
+    atoms = spark.createDataFrame([("term", ["w7"]), ("prefix", ["w19"]), ("phrase", ["w4", "w5"]), ("phrase", ["w5", "w4"])], "kind string, words array<string>")
+    sifted = index._sifted(posts, spark.createDataFrame([("w4",), ("w5",), ("none",)], "token string"))
+    assert {"w4", "w5"} <= {r.token for r in sifted.collect()} and sifted.count() < 50
+    got = {(r.kind, r.pos) for r in index.hits(posts, atoms).collect()}
+    assert got == {("term", 7), ("phrase", 4)} | {("prefix", i) for i in range(2000) if str(i).startswith("19")}
+
+
+@pytest.mark.skipif(not there, reason="no test tables")
+def test_documents_are_counted_where_their_lists_are(spark):
+    assert "count(distinct doc_id" not in plan(catalogue.bm25_stats(spark, SF))
