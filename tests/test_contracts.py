@@ -1,10 +1,12 @@
 """What queries had wrong beside their SQL, on rows worked out by hand."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.oracle import SF, there
 from trailmark.functions import html, text
+from trailmark.llm import exchange
 from trailmark.operators import crawl, index, places
 from trailmark.plans import catalogue
 from trailmark.streaming.visits import captures
@@ -83,3 +85,17 @@ def test_few_words_leave_few_postings(spark):
 @pytest.mark.skipif(not there, reason="no test tables")
 def test_documents_are_counted_where_their_lists_are(spark):
     assert "count(distinct doc_id" not in plan(catalogue.bm25_stats(spark, SF))
+
+
+def test_what_is_cut_again_is_read_in_bounded_parts(monkeypatch):
+    records = exchange.Records(10, 8, chunk="<i8", size="<u2", ids="*<i8")
+    n = 1000
+    rows = [b for c in range(30) for b in records.rows(np.full(n, 7 << 54, np.uint64) + np.uint64(c), np.full(n, c), np.full(n, 5, np.uint16), np.repeat(np.arange(n), 5))]
+    monkeypatch.setattr(exchange, "GATHERED", 1 << 18)
+    most = []
+    read = exchange.Records.read
+    monkeypatch.setattr(exchange.Records, "read", lambda self, table: most.append(int(self.unpacked(table).sum())) or read(self, table))
+    cut = [*records._cut_again(10)(iter(rows))]
+    assert max(most) <= 2 << 18  # the rows of a part, and the last of these whole
+    chunk, ids = (np.concatenate([read(records, b)[i] for b in cut]) for i in (1, 3))
+    assert (np.bincount(chunk) == n).all() and len(ids) == 30 * n * 5 and ids.sum() == 30 * 5 * n * (n - 1) // 2
